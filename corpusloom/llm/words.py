@@ -120,10 +120,48 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+BLOCK_CHARS = 1 << 19
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts in order, and the offsets of each text's words (one more than texts)."""
-    n = len(texts)
-    plain = [unescaped(t) for t in texts]
+    """64-bit hashes of all words of all texts in order, and the offsets of each text's words (one more than texts).
+
+    Works through blocks of ``BLOCK_CHARS`` characters, which stay in the processor's cache; a longer text is taken
+    in several blocks that end at white space, so memory doesn't grow with the length of a text that has any."""
+    parts, counts, block, size = [], [], [], 0
+
+    def flush():
+        nonlocal block, size
+        if block:
+            hashes, offsets = _block_hashes(block)
+            parts.append(hashes)
+            counts.extend(np.diff(offsets).tolist())
+            block, size = [], 0
+
+    for text in texts:
+        text = unescaped(text)
+        if size + len(text) > BLOCK_CHARS:
+            flush()
+        if len(text) <= 2 * BLOCK_CHARS:
+            block.append(text)
+            size += len(text)
+            continue
+        total, at = 0, 0
+        while at < len(text):
+            stop = at + BLOCK_CHARS
+            while stop < len(text) and text[stop] not in " \n\t\r":
+                stop += 1
+            hashes, _ = _block_hashes([text[at:stop]])
+            parts.append(hashes)
+            total += len(hashes)
+            at = stop
+        counts.append(total)
+    flush()
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(np.array(counts, np.int64))]).astype(np.int64)
+
+
+def _block_hashes(plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    n = len(plain)
     codes = np.frombuffer("\n".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, plain), np.int64, n)
     ends = np.cumsum(lengths + 1)  # of each text with its separator; the last has none
