@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import leakage, neardup, overlap, pairs
+from . import leakage, mixing, neardup, overlap, packing, pairs, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,8 +51,40 @@ def p4_items(spark, folder):
     return leakage.items_report(leakage.leaks(_table(spark, folder, "documents"), items), items)
 
 
+def _specs(spark, folder, purpose):
+    """The few rows of ``length_specs``, checked to be few."""
+    rows = _table(spark, folder, "length_specs").where(F.col("purpose") == purpose).limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("length_specs has more than 1000 rows of a purpose")
+    return {r["spec_id"]: (int(r["capacity"]), int(r["overlap"] or 0)) for r in rows}
+
+
+def p5_pack(spark, folder):
+    return packing.pack(_table(spark, folder, "documents"), {k: c for k, (c, _) in _specs(spark, folder, "pack").items()})
+
+
+def p5_unused(spark, folder):
+    return packing.unused(p5_pack(spark, folder), {k: c for k, (c, _) in _specs(spark, folder, "pack").items()})
+
+
+def p6_draw(spark, folder):
+    return mixing.draw(mixing.by_source(_table(spark, folder, "documents")), _table(spark, folder, "mix_targets"))
+
+
+def p6_shares(spark, folder):
+    return mixing.shares(p6_draw(spark, folder), _table(spark, folder, "mix_targets"))
+
+
+def p7_pieces(spark, folder):
+    return splitting.pieces(_table(spark, folder, "documents"), _specs(spark, folder, "split"))
+
+
+def p7_found(spark, folder):
+    return splitting.found(p7_pieces(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_items)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_items, p5_pack, p5_unused, p6_draw, p6_shares, p7_found, p7_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
