@@ -1,0 +1,11 @@
+"""The queries of the reference's operators and their SQL equivalents."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
