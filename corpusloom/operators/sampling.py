@@ -50,7 +50,7 @@ def weighted(df: DataFrame, stream: str, key: str, shares: dict[str, float], tot
     whole = sum(shares.values())
     quota = F.create_map(*(x for name, share in shares.items() for x in (F.lit(name), F.lit(int(total * share / whole)).cast("long"))))
     rows = df.where(F.col(stream).isin(*shares)).withColumn("_h", hashed(key, seed, portable)).withColumn("_q", quota[F.col(stream)])
-    rows = rows.withColumn("_b", F.pmod(F.floor(F.col("_h") / 1024), F.lit(256)))
+    rows = rows.withColumn("_b", F.shiftright("_h", (48 if portable else 63) - 8))  # in order of the hash
     parts = rows.groupBy(stream, "_b").agg(F.count("*").alias("_n"))
     before = parts.select(stream, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(stream).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(stream)).alias("_all"))
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stream, "_b").orderBy("_h", key)) - 1).join(F.broadcast(before), [stream, "_b"])  # streams x 256 rows

@@ -44,14 +44,14 @@ def reduced(df: DataFrame, world: int) -> DataFrame:
 
     A metric is named ``kind/tensor``; a cosine ``cosine/a_b/tensor`` has its norms under ``l2_norm/a/tensor`` and
     ``l2_norm/b/tensor``."""
-    kind = F.split("metric", "/")[0]
+    kind = F.get(F.split("metric", "/"), F.lit(0))
     rows = df.withColumn("_kind", kind)
     norms = rows.where("_kind = 'l2_norm'")
     total = norms.groupBy("metric").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("value"))
     mean = rows.where("_kind not in ('l2_norm', 'cosine', 'layerwise_lr')").groupBy("metric").agg((F.sum("value") / world).alias("value"))
     rate = rows.where("_kind = 'layerwise_lr'").groupBy("metric").agg(F.min_by("value", "rank").alias("value"))
     parts = F.split("metric", "/")
-    cosines = rows.where("_kind = 'cosine'").withColumn("_sides", F.split(parts[1], "_")).withColumn("_a", F.concat(F.lit("l2_norm/"), F.col("_sides")[0], F.lit("/"), parts[2])).withColumn("_b", F.concat(F.lit("l2_norm/"), F.col("_sides")[1], F.lit("/"), parts[2]))
+    cosines = rows.where("_kind = 'cosine'").withColumn("_sides", F.split(F.get(parts, F.lit(1)), "_")).withColumn("_a", F.concat(F.lit("l2_norm/"), F.get("_sides", F.lit(0)), F.lit("/"), F.get(parts, F.lit(2)))).withColumn("_b", F.concat(F.lit("l2_norm/"), F.get("_sides", F.lit(1)), F.lit("/"), F.get(parts, F.lit(2))))
     own = norms.select(F.col("rank"), F.col("metric").alias("_m"), F.col("value").alias("_n"))
     pair = cosines.join(own.withColumnsRenamed({"_m": "_a", "_n": "_na"}), ["rank", "_a"]).join(own.withColumnsRenamed({"_m": "_b", "_n": "_nb"}), ["rank", "_b"])
     top = pair.groupBy("metric", "_a", "_b").agg(F.sum(F.col("value") * F.col("_na") * F.col("_nb")).alias("_dot"))

@@ -1 +1,288 @@
-"""To come."""
+"""Collation, packing, denoising, prompts and masks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..functions import tokenize as K
+from ..operators import collate, denoise, icl, masks, packing, pairs
+from .base import WORDS, joined, query
+
+LENGTH = 48
+
+
+def _tokenised(t):
+    """Pairs as context and target ids, in batches of 16 by id."""
+    rows = t.tasks.where("response is not null").select("pair_id", K.word_tokens(F.col("prompt")).alias("context"), K.word_tokens(F.col("response")).alias("target"))
+    return rows
+
+
+BASE = f"SELECT pair_id, {WORDS.format('prompt')} AS c, {WORDS.format('response')} AS t0 FROM tasks WHERE response IS NOT NULL"
+ENDED = f"SELECT pair_id, c, CASE WHEN len(t0) > 0 AND t0[-1] = 2 THEN t0 ELSE list_append(t0, 2) END AS t FROM ({BASE})"
+CUT = f"SELECT pair_id, c, CASE WHEN len(c) + len(t) > {LENGTH} THEN list_append(list_slice(list_slice(t, len(t) - ({LENGTH} - len(c)) + 1, len(t)), 1, {LENGTH} - len(c) - 1), 2) ELSE t END AS t FROM ({ENDED}) WHERE len(c) < {LENGTH}"
+
+
+def _fill(value: int, n: str) -> str:
+    return f"list_resize([]::BIGINT[], greatest({n}, 0), {value})"
+
+
+COLLATED = f"""SELECT pair_id, array_to_string(list_concat({_fill(0, f'{LENGTH} - len(c) - len(t)')}, list_concat(c, t)), ',') AS input_ids,
+ array_to_string(list_concat({_fill(-100, f'{LENGTH} - len(t)')}, t), ',') AS labels,
+ array_to_string(list_concat({_fill(0, f'{LENGTH} - len(c) - len(t)')}, {_fill(1, 'len(c) + len(t)')}), ',') AS attention_mask,
+ array_to_string(list_concat(list_concat({_fill(0, f'{LENGTH} - len(c) - len(t)')}, {_fill(1, 'len(c)')}), {_fill(0, 'len(t)')}), ',') AS bidirectional_mask FROM ({CUT})"""
+
+
+def _text(df, *keys):
+    return df.select(*keys, *(joined(c).alias(c) for c in df.columns if c not in keys))
+
+
+@query(COLLATED)
+def COL1_COL2_COL3_decoder_only(t):
+    return _text(collate.decoder_only(_tokenised(t), LENGTH, 0, 2), "pair_id")
+
+
+@query(
+    f"""SELECT pair_id, array_to_string(list_concat({_fill(0, f'{LENGTH} - len(c)')}, c), ',') AS input_ids, array_to_string(list_concat({_fill(0, f'{LENGTH} - len(t)')}, t), ',') AS labels,
+ array_to_string(list_concat({_fill(0, f'{LENGTH} - len(c)')}, {_fill(1, 'len(c)')}), ',') AS attention_mask FROM ({CUT})"""
+)
+def COL4_for_generation(t):
+    return _text(collate.decoder_only(_tokenised(t), LENGTH, 0, 2, generation=True).drop("bidirectional_mask"), "pair_id")
+
+
+CUT_BOTH = f"""SELECT pair_id, CASE WHEN len(c) > {LENGTH} THEN list_append(list_slice(c, 1, {LENGTH - 1}), 2) ELSE c END AS c,
+ CASE WHEN len(t) >= {LENGTH} THEN list_append(list_slice(t, 1, {LENGTH - 1}), 2) ELSE t END AS t FROM ({ENDED})"""
+
+
+@query(
+    f"""SELECT pair_id, array_to_string(list_concat(c, {_fill(0, f'{LENGTH} - len(c)')}), ',') AS input_ids, array_to_string(list_concat({_fill(1, 'len(c)')}, {_fill(0, f'{LENGTH} - len(c)')}), ',') AS attention_mask,
+ array_to_string(list_concat(t, {_fill(-100, f'{LENGTH} - len(t)')}), ',') AS labels FROM ({CUT_BOTH})"""
+)
+def COL5_encoder_decoder(t):
+    return _text(collate.encoder_decoder(_tokenised(t), LENGTH, 0, 2).drop("decoder_input_ids", "decoder_attention_mask"), "pair_id")
+
+
+@query(
+    f"""SELECT pair_id, array_to_string(list_slice(list_concat(list_concat([0::BIGINT], t), {_fill(0, f'{LENGTH} - len(t)')}), 1, {LENGTH}), ',') AS decoder_input_ids,
+ array_to_string(list_concat({_fill(1, 'len(t)')}, {_fill(0, f'{LENGTH} - len(t)')}), ',') AS decoder_attention_mask FROM (SELECT pair_id, t FROM ({CUT_BOTH}))"""
+)
+def COL6_decoder_inputs(t):
+    # the pad id stands where labels are ignored; the last label itself only moves right while there is room
+    return _text(collate.encoder_decoder(_tokenised(t), LENGTH, 0, 2).select("pair_id", "decoder_input_ids", "decoder_attention_mask"), "pair_id")
+
+
+TRIMMED = f"""WITH b AS (SELECT pair_id, c, t, ((row_number() OVER (ORDER BY pair_id) - 1) // 16)::BIGINT AS batch_id FROM ({CUT})),
+k AS (SELECT *, CASE WHEN batch_id = 0 THEN {LENGTH} ELSE least(ceil(max(len(c) + len(t)) OVER (PARTITION BY batch_id) / 8.0)::BIGINT * 8, {LENGTH}) END AS keep FROM b)
+SELECT pair_id, batch_id, array_to_string(list_concat({_fill(0, 'keep - len(c) - len(t)')}, list_concat(c, t)), ',') AS input_ids, array_to_string(list_concat({_fill(-100, 'keep - len(t)')}, t), ',') AS labels FROM k"""
+
+
+@query(TRIMMED)
+def COL7_trimmed_batches(t):
+    rows = collate.batched(collate.decoder_only(_tokenised(t), LENGTH, 0, 2), "pair_id", 16)
+    rows = collate.trimmed(rows, ("input_ids", "labels", "attention_mask", "bidirectional_mask"))
+    return rows.select("pair_id", "batch_id", joined("input_ids").alias("input_ids"), joined("labels").alias("labels"))
+
+
+@query("SELECT pair_id, 3::BIGINT AS epoch, 'finetuning' AS loader FROM tasks")
+def COL8_batch_metadata(t):
+    return collate.with_metadata(t.tasks.select("pair_id"), epoch=3, loader="finetuning").withColumn("epoch", F.col("epoch").cast("long"))
+
+
+@query(COLLATED.replace(f"({BASE})", f"(SELECT pair_id, list_append(c, 5) AS c, t0 FROM ({BASE}))"))
+def COL9_separator(t):
+    return _text(collate.decoder_only(_tokenised(t), LENGTH, 0, 2, separator=collate.separator_ids(True, 5)), "pair_id")
+
+
+@query(f"SELECT pair_id, array_to_string(list_concat(list_concat({_fill(0, f'{LENGTH} - len(c) - len(t)')}, {_fill(1, 'len(c)')}), {_fill(0, 'len(t)')}), ',') AS mask FROM ({CUT})")
+def COL10_inferred_bidirectional(t):
+    return collate.decoder_only(_tokenised(t), LENGTH, 0, 2).select("pair_id", joined(A.bidirectional("attention_mask", "labels")).alias("mask"))
+
+
+@query(f"SELECT pair_id, len(c)::BIGINT AS n FROM ({BASE}) WHERE len(c) < 20")
+def FLT1_prompt_length(t):
+    rows = t.tasks.where("response is not null").select("pair_id", K.word_tokens(F.col("prompt")).alias("ids"))
+    return pairs.shorter_prompts(rows, "ids", 20).select("pair_id", F.size("ids").cast("long").alias("n"))
+
+
+@query(f"SELECT count(*)::BIGINT AS kept FROM ({BASE}) WHERE len(c) + 1 < {LENGTH}")
+def FLT2_context_length(t):
+    return collate.decoder_only(_tokenised(t), LENGTH, 0, 2, separator=(5,)).agg(F.count("*").alias("kept"))
+
+
+def _batches(t, raw):
+    return collate.batched(collate.decoder_only(_tokenised(t), 128, 0, 2), "pair_id", raw).withColumn("stream", F.floor(F.col("batch_id") / 8))
+
+
+@query()
+def PCK1_PCK5_packed_batches(t):
+    raw = packing.raw_batch(8, 3.0)
+    packed = packing.pack_batches(_batches(t, raw), 8, 128, 0, stream="stream")
+    return packed.select("stream", "batch_id", "pos", "used", joined("input_ids").alias("input_ids"), joined("sequence_id").alias("sequence_id"), joined("labels").alias("labels"))
+
+
+@query(f"SELECT pair_id, array_to_string(list_concat(c, t), ',') AS input_ids FROM ({CUT})")
+def PCK2_trimmed_examples(t):
+    rows = collate.decoder_only(_tokenised(t), LENGTH, 0, 2)
+    kept = F.transform(F.filter(F.arrays_zip("input_ids", "attention_mask"), lambda x: x["attention_mask"] == 1), lambda x: x["input_ids"])
+    return rows.select("pair_id", joined(kept).alias("input_ids"))
+
+
+@query("SELECT 'labels' AS name, '-100,1,2,-100,4' AS value UNION ALL SELECT 'sequence_id', '0,0,0,1,1'")
+def PCK3_joined_examples(t):
+    one = packing.joined([{"labels": [-100, 1, 2], "sequence_id": [0, 0, 0]}, {"labels": [3, 4], "sequence_id": [0, 0]}])
+    return t.rows([(k, ",".join(map(str, v))) for k, v in one.items()], "name string, value string")
+
+
+@query("SELECT 8::BIGINT AS size, 3.0::DOUBLE AS ratio, 24::BIGINT AS raw UNION ALL SELECT 8, 5.5, 44 UNION ALL SELECT 8, 1.0, 8")
+def PCK6_packing_ratio(t):
+    return t.rows([(8, r, packing.raw_batch(8, r)) for r in (3.0, 5.5, 1.0)], "size long, ratio double, raw long")
+
+
+@query()
+def PCK4_AGG7_packing_statistics(t):
+    return packing.statistics(packing.pack_batches(_batches(t, 24), 8, 128, 0, stream="stream"), 128)
+
+
+@query()
+def AGG8_packing_profile(t):
+    return packing.profile(collate.decoder_only(_tokenised(t), 128, 0, 2), "pair_id", 8, 128, 0, packing.ratios(1.5, 4.0, 6, 8))
+
+
+@query(
+    "SELECT CASE WHEN mean IS NULL THEN 'sequence' ELSE 'span' END AS kind, ratio, mean FROM (VALUES (0.15::DOUBLE, 3.0::DOUBLE), (0.5, 8.0), (0.25, NULL)) v(ratio, mean)"
+)
+def DEN3_noiser_table(t):
+    kinds = denoise.noisers([(3.0, 0.15), (8.0, 0.5)], [0.25])
+    return t.rows([("sequence" if n.mean is None else "span", n.ratio, n.mean) for n in kinds], "kind string, ratio double, mean double")
+
+
+@query()
+def DEN2_longest_starts(t):
+    kinds = denoise.noisers([(3.0, 0.15), (8.0, 0.5)], [0.25])
+    return t.rows([(n.ratio, n.mean, d, denoise.longest_start(256, n, d, d)) for n in kinds for d in (True, False)], "ratio double, mean double, decoder_only boolean, longest long")
+
+
+def _noised(t, decoder_only):
+    rows = t.documents.select("doc_id", K.word_tokens(F.col("text")).alias("ids"))
+    return denoise.denoised(rows, "ids", "doc_id", 256, denoise.noisers([(3.0, 0.15), (8.0, 0.5)], [0.25], {"[S2S]": (5,), "[NLU]": (6,), "[NLG]": (7,)}), decoder_only=decoder_only, seed=17)
+
+
+@query()
+def DEN4_DEN10_decoder_only(t):
+    return _text(_noised(t, True), "doc_id", "noiser")
+
+
+@query()
+def DEN5_DEN9_encoder_decoder(t):
+    return _text(_noised(t, False), "doc_id", "noiser")
+
+
+@query(
+    "SELECT doc_id, TRUE AS restored FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S')".replace("\\\\", "\\")
+)
+def DEN7_DEN8_round_trip(t):
+    """Inputs and labels of span corruption, put together again at the sentinels, give the tokens."""
+    length = 192
+    noised = denoise.denoised(t.documents.select("doc_id", K.word_tokens(F.col("text")).alias("ids")), "ids", "doc_id", 256, [denoise.Noiser(0.15, 3.0)], seed=3, side="right", decoder_only=False, most_raw=length)
+    raw = t.documents.select("doc_id", F.slice(K.word_tokens(F.col("text")), 1, min(length, denoise.longest_start(256, denoise.Noiser(0.15, 3.0), False, False))).alias("raw"))
+    low = K.Tokenizer().adapted().sentinel(99)
+    both = noised.join(raw, "doc_id").withColumn("kept", F.filter("input_ids", lambda x: (x > 2) & (x < low))).withColumn("gone", F.filter("labels", lambda x: (x > 2) & (x < low)))
+    return both.select("doc_id", (F.sort_array(F.concat("kept", "gone")) == F.sort_array("raw")).alias("restored"))
+
+
+SHOT = "md5('0-' || item_id::VARCHAR)"
+
+
+@query("SELECT item_id, query || '' AS prompt, ' ' || ltrim(choices[gold + 1]) AS continuation FROM copa")
+def ICL4_zero_shot(t):
+    task = icl.Task("copa", "multiple_choice")
+    rows = icl.prompts(t.copa.withColumn("answer", F.get("choices", F.col("gold").cast("int"))), "item_id", "query", "answer", task, 0)
+    return rows.select("item_id", "prompt", "continuation")
+
+
+@query(f"""
+WITH w AS (SELECT item_id, query, choices[gold + 1] AS answer, row_number() OVER (ORDER BY {SHOT}, item_id) AS r FROM copa),
+top AS (SELECT item_id AS id, query || ' ' || ltrim(answer) AS whole, r FROM w WHERE r <= 3)
+SELECT w.item_id, 'Finish: ' || (SELECT string_agg(whole || chr(10), '' ORDER BY r) FROM (SELECT * FROM top WHERE top.id <> w.item_id ORDER BY r LIMIT 2)) || w.query AS prompt, ' ' || ltrim(w.answer) AS continuation FROM w""")
+def ICL4_JON9_two_shot(t):
+    task = icl.Task("copa", "multiple_choice", (2,), prompt="Finish: ")
+    rows = icl.prompts(t.copa.withColumn("answer", F.get("choices", F.col("gold").cast("int"))), "item_id", "query", "answer", task, 2)
+    return rows.select("item_id", "prompt", "continuation")
+
+
+@query(
+    "SELECT 'metrics/' || label || '/' || n || '-shot/' || category || '/InContextLearningMultipleChoiceAccuracy' AS key FROM (SELECT DISTINCT label, trim(lower(category)) AS category FROM mc_items WHERE category IS NOT NULL), (SELECT unnest([0, 5]) AS n)"
+)
+def ICL1_ICL2_ICL3_metric_keys(t):
+    groups = t.mc_items.where("category is not null").select("label", F.trim(F.lower("category")).alias("category")).distinct()
+    tasks = groups.groupBy("label").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+    keys = F.explode(F.flatten(F.transform(F.array(F.lit(0), F.lit(5)), lambda n: F.transform("categories", lambda c: F.concat(F.lit("metrics/"), F.col("label"), F.lit("/"), n.cast("string"), F.lit("-shot/"), c, F.lit(f"/{icl.METRICS['multiple_choice']}"))))))
+    return tasks.select(keys.alias("key"))
+
+
+@query("SELECT pair_id, starts_with(trim(regexp_replace(regexp_replace(regexp_replace(lower(response), '[^\\w\\s]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')), 'nothing but') AS correct FROM tasks WHERE response IS NOT NULL AND preproc = 'multiple_choice' AND regexp_full_match(response, '[ -~]*')".replace("\\\\", "\\"))
+def ICL5_question_answering(t):
+    rows = t.tasks.where("response is not null and preproc = 'multiple_choice'").where(F.col("response").rlike(r"\A[ -~]*\z"))
+    return rows.select("pair_id", icl.qa_correct(F.col("response"), F.array(F.lit("nothing but"))).alias("correct"))
+
+
+@query("SELECT item_id, continuation = repeat(string_split(continuation, ' ')[2], 1) AS correct FROM (SELECT item_id, ' ' || ltrim(continuation) AS continuation FROM lm_tasks)")
+def ICL6_language_modelling(t):
+    said = t.lm_tasks.withColumn("continuation", icl.continuation(F.ltrim("continuation")))
+    return said.select("item_id", icl.lm_correct(F.col("continuation"), F.get(F.split("continuation", " "), F.lit(1))).alias("correct"))
+
+
+@query(
+    "SELECT item_id, arg_min(i, (p, i))::BIGINT AS picked, arg_min(i, (p, i)) = first(gold) AS correct FROM (SELECT item_id, gold, unnest(range(0, len(choices))) AS i, unnest(list_transform(choices, lambda c: ('0x' || substr(md5(c), 1, 4))::BIGINT)) AS p FROM mc_items WHERE len(choices) > 0) GROUP BY item_id"
+)
+def ICL7_ICL8_least_perplexity(t):
+    scored = icl.expanded(t.mc_items).withColumn("perplexity", F.conv(F.substring(F.md5("choice"), 1, 4), 16, 10).cast("long"))
+    return icl.best_choice(scored, "item_id").select("item_id", F.col("picked").cast("long").alias("picked"), "correct")
+
+
+@query(f"""
+SELECT event_id, '{icl.CHAT_SYSTEM.replace('{}', 'Be brief.')}' || coalesce(string_agg(replace('{icl.CHAT_USER}', '{{}}', event_type) || replace('{icl.CHAT_ASSISTANT}', '{{}}', user_id::VARCHAR), '') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || replace('{icl.CHAT_USER}', '{{}}', event_type) || '{icl.CHAT_PREFIX}' AS prompt FROM events""")
+def ICL9_WIN10_chat_prompts(t):
+    turns = t.events.withColumn("reply", F.col("user_id").cast("string"))
+    return icl.chat_prompts(turns, "user_id", "event_id", "event_type", "reply", "Be brief.").select("event_id", "prompt")
+
+
+@query("SELECT pair_id, response AS completion FROM tasks WHERE response IS NOT NULL")
+def ICL10_completion(t):
+    rows = t.tasks.where("response is not null").withColumn("generated", F.concat("prompt", "response"))
+    return rows.select("pair_id", icl.completion(F.col("generated"), F.col("prompt")).alias("completion"))
+
+
+PAIRS = f"""WITH s AS (SELECT item_id, {WORDS.format('query')} AS ids FROM copa),
+p AS (SELECT item_id, i, ids[i + 1] % 3 AS g, (i < 4)::INT AS pre FROM (SELECT item_id, ids, unnest(range(0, len(ids))) AS i FROM s)),
+q AS (SELECT item_id, i, sum((g = 0)::INT) OVER (PARTITION BY item_id ORDER BY i) AS s, pre FROM p)
+SELECT a.item_id, count(*)::BIGINT AS n, sum(a.i * 100 + b.i)::BIGINT AS total FROM q a JOIN q b ON a.item_id = b.item_id AND a.s = b.s AND (b.i <= a.i OR (a.pre = 1 AND b.pre = 1)) GROUP BY a.item_id"""
+
+
+@query(PAIRS)
+def JON10_attention_pairs(t):
+    ids = K.word_tokens(F.col("query"))
+    rows = t.copa.select("item_id", A.running_sum(F.transform(ids, lambda x: (x % 3 == 0).cast("long"))).alias("seq"), F.transform(ids, lambda _, i: (i < 4).cast("int")).alias("prefix"))
+    return masks.attention_pairs(rows, "item_id", "seq", "prefix").groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.col("i") * 100 + F.col("j")).cast("long").alias("total"))
+
+
+@query("SELECT h::INT AS head, i::INT AS i, j::INT AS j, round(-abs(i - j) * pow(2.0, -8.0 * (h + 1) / 8), 9) AS bias FROM range(8) a(h), range(16) b(i), range(16) c(j)")
+def NUM4_alibi_bias(t):
+    return masks.alibi(t.spark, 8, 16, full=True).withColumn("bias", F.round("bias", 9))
+
+
+@query(
+    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)) / len(embedding) + 0.00001))), 6) AS total, round((embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)) / len(embedding) + 0.00001)), 6) AS first FROM embeddings"
+)
+def NUM6_rms_norm(t):
+    normed = t.embeddings.select("vec_id", A.rms_norm("embedding").alias("v"))
+    return normed.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
+
+
+@query(
+    "SELECT step::BIGINT AS step, round(CASE WHEN step < 10 THEN step / 10.0 ELSE 0.1 + 0.9 * (1 + cos(pi() * least(1.0, (step - 10) / 90.0))) / 2 END, 9) AS factor FROM range(0, 121, 10) r(step)"
+)
+def NUM15_cosine_schedule(t):
+    from ..plans.config import learning_rate
+
+    return t.rows([(s, round(learning_rate(s, "cosine", 10, 100, 0.1), 9)) for s in range(0, 121, 10)], "step long, factor double")
