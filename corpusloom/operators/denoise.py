@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import IGNORED
+from ..functions.arrays import IGNORED, truncated
 from ..functions.tokenize import Tokenizer
 
 
@@ -147,6 +147,7 @@ def denoised(df: DataFrame, tokens: str, key: str, length: int, kinds: list[Nois
             arrays = [pa.array(out["noiser"], pa.int32()), *(pa.array(out[n], pa.list_(pa.int64() if n in ("input_ids", "labels", "decoder_input_ids") else pa.int32())) for n in names[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(key), *arrays], [key, *names])
 
-    rows = df.select(key, F.col(tokens).alias("_tokens"), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(len(kinds))).cast("int").alias("_which"), F.xxhash64(F.lit(seed + 1), key).alias("_seed")).where(F.size("_tokens") > 0)
+    kept = F.col(tokens) if not starts else truncated(tokens, max(starts), "last" if side == "left" else "first")  # only what can be used goes to Python
+    rows = df.select(key, kept.alias("_tokens"), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(len(kinds))).cast("int").alias("_which"), F.xxhash64(F.lit(seed + 1), key).alias("_seed")).where(F.size("_tokens") > 0)
     kinds_of = {n: "array<long>" if n in ("input_ids", "labels", "decoder_input_ids") else "array<int>" for n in names[1:]}
     return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, noiser int, " + ", ".join(f"{n} {k}" for n, k in kinds_of.items()))
