@@ -71,17 +71,14 @@ def solve(patterns: dict[tuple[str, ...], int], shares: dict[str, float], repeat
     """How much can flow in, at most, of ``total``, and the flow from each pattern to each source at least cost."""
     net, taken = Flow(), {}
     for pattern, size in patterns.items():
-        net.add("all", ("pattern", pattern), size * max(repeats[s] for s in pattern))
+        for k in range(max(repeats[s] for s in pattern)):
+            net.add("all", ("pattern", pattern), size, k)
         for source in pattern:
-            for k in range(repeats[source]):
-                taken[pattern, source, k] = net.add(("pattern", pattern), ("source", source), size, k)
+            taken[pattern, source] = net.add(("pattern", pattern), ("source", source), size * repeats[source])
     for source, share in shares.items():
         net.add(("source", source), "mix", int(share * total))
     flow = net.run("all", "mix")
-    out: dict[tuple[tuple[str, ...], str], int] = defaultdict(int)
-    for (pattern, source, _), arc in taken.items():
-        out[pattern, source] += arc[4] - arc[1]
-    return flow, {k: v for k, v in out.items() if v}
+    return flow, {k: arc[4] - arc[1] for k, arc in taken.items() if arc[4] > arc[1]}
 
 
 def largest(patterns: dict[tuple[str, ...], int], shares: dict[str, float], repeats: dict[str, int]) -> int:

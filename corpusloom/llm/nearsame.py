@@ -46,26 +46,50 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield batch, *word_sets(batch.column("text").to_pylist())
 
 
+def _fresh(cls: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of classes that a task meets for the first time (ascending), and all classes it has met."""
+    own, first = np.unique(cls, return_index=True)
+    new = (own != 0) & ~np.isin(own, seen, assume_unique=True)
+    return np.sort(first[new]), np.union1d(seen, own)
+
+
+def _taken(words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some texts, and their offsets."""
+    lengths = np.diff(offsets)[rows]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    return words[np.repeat(offsets[:-1][rows] - bounds[:-1], lengths) + np.arange(bounds[-1])], bounds
+
+
 def common_words(texts: DataFrame, p: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and levels of the words in more than ``share`` of all texts."""
+    """Sorted hashes and levels of the words in more than ``share`` of all different texts.
+
+    Copies count once a task, so that a text copied over and over doesn't make its own words common."""
 
     def count(batches):
-        total = None
-        for _, words, _ in _batches(batches):
-            word, n = np.unique(words, return_counts=True)
-            total = pd.Series(n, word) if total is None else total.add(pd.Series(n, word), fill_value=0)
+        total, n, seen = None, 0, np.zeros(0, np.int64)
+
+        def partial():
+            word = np.concatenate([total.index.to_numpy(np.uint64), [np.uint64(0)]]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.concatenate([total.to_numpy(np.int64), [n]]))], ["word", "n"])
+
+        for _, words, offsets in _batches(batches):
+            rows, seen = _fresh(set_ids(words, offsets), seen)
+            word, times = np.unique(_taken(words, offsets, rows)[0], return_counts=True)
+            n += len(rows)
+            total = pd.Series(times, word) if total is None else total.add(pd.Series(times, word), fill_value=0)
             if len(total) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(total.index.to_numpy().view(np.int64)), pa.array(total.to_numpy().astype(np.int64))], ["word", "n"])
-                total = None
+                yield partial()
+                total, n = None, 0
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(total.index.to_numpy().view(np.int64)), pa.array(total.to_numpy().astype(np.int64))], ["word", "n"])
+            yield partial()
 
-    n = texts.count()
-    found = texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > p.share * n)
-    rows = found.orderBy(F.desc("n"), "word").limit(p.most_common).collect()  # at most most_common
-    word, count_ = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.float64)
+    counted = texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))  # word 0 counts the texts
+    most = counted.orderBy(F.desc("n"), "word").limit(p.most_common + 1).collect()  # at most most_common + 1
+    n = next((r["n"] for r in most if r["word"] == 0), 0)
+    rows = [r for r in most if r["word"] != 0 and r["n"] > p.share * n]
+    word, times = np.array([r["word"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.float64)
     order = np.argsort(word)
-    level = np.round((1 << DEPTH) * (np.log(count_ / max(n, 1)) / np.log(p.share)) ** 2)
+    level = np.round((1 << DEPTH) * (np.log(times / max(n, 1)) / np.log(p.share)) ** 2)
     return word[order], np.clip(level, 1, 1 << DEPTH).astype(np.int64)[order]
 
 
@@ -91,14 +115,9 @@ def candidates(texts: DataFrame, p: Near) -> DataFrame:
         signer, seen = Signer(p.rows * p.bands + 64, *common.value), np.zeros(0, np.int64)
         for _, words, offsets in _batches(batches):
             cls = set_ids(words, offsets)
-            own, first = np.unique(cls, return_index=True)
-            fresh = first[(own != 0) & ~np.isin(own, seen, assume_unique=True)]
-            seen = np.union1d(seen, own)
+            fresh, seen = _fresh(cls, seen)
             if len(fresh):
-                fresh = np.sort(fresh)
-                lengths = np.diff(offsets)[fresh]
-                at = np.repeat(offsets[:-1][fresh] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-                signature = signer.sign(words[at], np.concatenate([[0], np.cumsum(lengths)]))
+                signature = signer.sign(*_taken(words, offsets, fresh))
                 keys, near = bands(signature, p.rows, p.bands), sketch(signature[:, -64:])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls[fresh], p.bands)), pa.array(np.repeat(near[:, 0], p.bands))], ["band", "cls", "sketch"])
 

@@ -25,6 +25,7 @@ def tokens(text: Column) -> Column:
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int]], int]:
     """Rows (size, first rank, first container) and the number of containers. Sizes are 1 to ``capacity``."""
+    volume, free = sum(s * n for s, n in histogram.items()), 0  # still to be placed; left in open containers
     runs: dict[int, list[tuple[int, int]]] = {}  # free space -> runs of containers (first, how many)
     spaces: list[int] = []  # a heap of the spaces in use, largest first
     steps, containers = [], 0
@@ -47,9 +48,13 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
                     heapq.heappop(spaces)
                 used = min(left, many)
                 put(space, first + used, many - used)
-            else:
-                space, first, used = capacity, containers, left
-                containers += left
+                free -= used * size
+            else:  # as many new ones as the volume asks for, and as this size needs
+                space, first = capacity, containers
+                used = min(left, max(-(-left // (capacity // size)), -(-(volume - free) // capacity)))
+                containers += used
+                free += used * (capacity - size)
+            volume -= used * size
             steps.append((size, rank, first))
             put(space - size, first, used)
             rank, left = rank + used, left - used

@@ -95,13 +95,10 @@ def split(text: str, capacity: int, overlap: int) -> tuple[list[tuple[int, int,
             if best:
                 break
         if best is None:
-            stop = peak
-            while stop > low and not (lead[stop] and lead[stop - overlap]):
-                stop -= 1
-            if not lead[stop]:
-                stop = peak
-                while not lead[stop]:
-                    stop -= 1
+            floor = start + overlap + 1  # below it the next piece would not get on
+            near = np.arange(peak, max(floor, peak - 64) - 1, -1)
+            fits = [near[lead[near] & lead[near - overlap]], near[lead[near]], near]
+            stop = int(next(x for x in fits if len(x))[0])
             best = stop, FORCED
         out.append((start, *best))
         start = best[0] - overlap
