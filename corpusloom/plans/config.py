@@ -204,3 +204,29 @@ def learning_rate(step: int, kind: str, warm_up: int, total: int, floor: float =
     if kind == "cosine":
         return floor + (1 - floor) * (1 + math.cos(math.pi * part)) / 2
     raise ValueError(f"no schedule {kind}")
+
+
+def retried(function: Callable, times: int = 3, wait: float = 1.0, errors: tuple[type[Exception], ...] = (Exception,)):
+    """``function()``, tried again after errors, each time after twice the wait; the last error is raised."""
+    import time
+
+    for attempt in range(times):
+        try:
+            return function()
+        except errors:
+            if attempt == times - 1:
+                raise
+            time.sleep(wait * 2**attempt)
+
+
+def raw_limit(setting: int | str | None, starts: list[int]) -> int | None:
+    """Most raw tokens a denoiser reads: the least or greatest that its noisers can, a number, or no limit of its own."""
+    if setting is None:
+        return None
+    if setting == "min":
+        return min(starts)
+    if setting == "max":
+        return max(starts)
+    if not isinstance(setting, int) or setting < 1:
+        raise ValueError("a limit is min, max, a positive number, or none")
+    return setting

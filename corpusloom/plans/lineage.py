@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_paths: dict[int, str] = {}
+_paths: dict[str, DataFrame] = {}
 _fallback: list[str] = []
 
 
@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
+    _paths[path] = out
     out._corpusloom_path = path
     return out
 
@@ -52,7 +52,17 @@ def drop(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
-        _paths.pop(id(df), None)
+        _paths.pop(path, None)
+
+
+@atexit.register
+def _drop_all() -> None:
+    """At the end of the program no result reads these tables any more."""
+    for df in list(_paths.values()):
+        try:
+            drop(df)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            return
 
 
 def release(spark: SparkSession) -> None:
