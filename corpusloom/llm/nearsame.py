@@ -32,11 +32,11 @@ class Near:
     ``filter_bits``: size of the bitmap of classes to verify (a power of two)."""
 
     threshold: tuple[int, int] = (7, 10)
-    share: float = 0.004
+    share: float = 0.006
     most_common: int = 65_536
     rows: int = 4
-    bands: int = 16
-    apart: int = 20
+    bands: int = 20
+    apart: int = 22
     filter_bits: int = 1 << 23
 
 
