@@ -87,5 +87,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_items, p5_pack, p5_unused, p6_draw, p6_shares, p7_found, p7_pieces)}
 
 
+#: White space as Python and Unicode have it, for an engine whose own class knows ASCII only.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+P7_FOUND = f"""SELECT doc_id, spec_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '{WHITE}'), lambda w: octet_length(encode(w)))) > capacity THEN 'forced' ELSE 'natural' END AS cut
+FROM documents JOIN length_specs ON purpose = 'split' AND octet_length(encode(text)) > capacity"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can say over whole tables; the others are tested against brute force."""
+    return {"p7_found": P7_FOUND}
