@@ -27,10 +27,11 @@ def concat_chunks(df: DataFrame, tokens: str, order: str, length: int, bos: tupl
     at most ``length`` slices. Null arrays count as empty; ``order`` is unique."""
     ids = lambda given: F.array(*(F.lit(i).cast("long") for i in given)) if given else F.expr("cast(array() as array<bigint>)")
     whole = F.concat(ids(bos), F.coalesce(F.col(tokens), F.expr("cast(array() as array<bigint>)")), ids(eos))
-    rows = df.select(F.col(order).alias("_order"), whole.alias("_tokens")).where(F.size("_tokens") > 0)
+    rows = df.select(F.col(order).alias("_order"), whole.alias("_tokens"))
     rows = running_offset(rows, "_order", F.size("_tokens"), span, "_from")
     first, last = F.floor(F.col("_from") / length), F.floor((F.col("_from") + F.size("_tokens") - 1) / length)
-    rows = rows.select("_from", "_tokens", F.explode(F.sequence(first, last)).alias("chunk_id"))
+    # a filter on the size would be pushed to the scan and compute the tokens once more
+    rows = rows.select("_from", "_tokens", F.explode(F.when(F.size("_tokens") > 0, F.sequence(first, last))).alias("chunk_id"))
     begin = F.greatest(F.lit(0), F.col("chunk_id") * length - F.col("_from"))
     end = F.least(F.size("_tokens"), (F.col("chunk_id") + 1) * length - F.col("_from"))
     rows = rows.select("chunk_id", (F.col("_from") + begin).alias("at"), F.slice("_tokens", (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))

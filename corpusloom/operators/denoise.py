@@ -124,6 +124,8 @@ def denoised(df: DataFrame, tokens: str, key: str, length: int, kinds: list[Nois
 
     def run(batches):
         for batch in batches:
+            lengths = batch.column("_tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(lengths > 0))  # here, as a filter in the plan would compute the tokens twice
             out: dict[str, list] = {n: [] for n in names}
             for row, which, own in zip(batch.column("_tokens"), batch.column("_which").to_pylist(), batch.column("_seed").to_pylist()):
                 rng = np.random.default_rng(own & ((1 << 63) - 1))
@@ -148,6 +150,6 @@ def denoised(df: DataFrame, tokens: str, key: str, length: int, kinds: list[Nois
             yield pa.RecordBatch.from_arrays([batch.column(key), *arrays], [key, *names])
 
     kept = F.col(tokens) if not starts else truncated(tokens, max(starts), "last" if side == "left" else "first")  # only what can be used goes to Python
-    rows = df.select(key, kept.alias("_tokens"), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(len(kinds))).cast("int").alias("_which"), F.xxhash64(F.lit(seed + 1), key).alias("_seed")).where(F.size("_tokens") > 0)
+    rows = df.select(key, kept.alias("_tokens"), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(len(kinds))).cast("int").alias("_which"), F.xxhash64(F.lit(seed + 1), key).alias("_seed"))
     kinds_of = {n: "array<long>" if n in ("input_ids", "labels", "decoder_input_ids") else "array<int>" for n in names[1:]}
     return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, noiser int, " + ", ".join(f"{n} {k}" for n, k in kinds_of.items()))
