@@ -286,3 +286,56 @@ def NUM15_cosine_schedule(t):
     from ..plans.config import learning_rate
 
     return t.rows([(s, round(learning_rate(s, "cosine", 10, 100, 0.1), 9)) for s in range(0, 121, 10)], "step long, factor double")
+
+
+@query(TRIMMED)
+def UDF4_collator_chain(t):
+    """Collators are functions of frames, put together by ``transform``."""
+    rows = (
+        _tokenised(t)
+        .transform(lambda df: collate.decoder_only(df, LENGTH, 0, 2))
+        .transform(lambda df: collate.batched(df, "pair_id", 16))
+        .transform(lambda df: collate.trimmed(df, ("input_ids", "labels", "attention_mask", "bidirectional_mask")))
+    )
+    return rows.select("pair_id", "batch_id", joined("input_ids").alias("input_ids"), joined("labels").alias("labels"))
+
+
+@query("SELECT doc_id, TRUE AS whole FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S')".replace("\\\\", "\\"))
+def DEN6_one_span_at_the_end(t):
+    """Sequence corruption keeps a head as input and leaves the rest as labels; both together are the tokens."""
+    noiser = denoise.Noiser(0.25, None)
+    ids = K.word_tokens(F.col("text"))
+    noised = denoise.denoised(t.documents.select("doc_id", ids.alias("ids")), "ids", "doc_id", 256, [noiser], seed=5, side="right", decoder_only=False)
+    raw = t.documents.select("doc_id", F.slice(ids, 1, denoise.longest_start(256, noiser, False, False)).alias("raw"))
+    body = lambda c: F.filter(c, lambda x: x > 2)
+    return noised.join(raw, "doc_id").select("doc_id", (F.concat(body("input_ids"), body("labels")) == F.col("raw")).alias("whole"))
+
+
+@query("SELECT * FROM (VALUES ('min', '231'), ('max', '255'), ('300', '300'), ('none', 'none'), ('0', 'refused')) v(setting, raw_limit)")
+def DEN11_raw_limits(t):
+    from ..plans.config import raw_limit
+
+    rows = []
+    for name, setting in (("min", "min"), ("max", "max"), ("300", 300), ("none", None), ("0", 0)):
+        try:
+            limit = raw_limit(setting, [231, 255])
+            rows.append((name, "none" if limit is None else str(limit)))
+        except ValueError:
+            rows.append((name, "refused"))
+    return t.rows(rows, "setting string, raw_limit string")
+
+
+@query("SELECT 3::BIGINT AS attempts, 'loaded' AS outcome")
+def ICL11_retries(t):
+    from ..plans.config import retried
+
+    seen = []
+
+    def load():
+        seen.append(1)
+        if len(seen) < 3:
+            raise OSError("not yet")
+        return "loaded"
+
+    said = retried(load, times=5, wait=0.0)
+    return t.rows([(len(seen), said)], "attempts long, outcome string")
