@@ -156,7 +156,10 @@ def DEN3_noiser_table(t):
     return t.rows([("sequence" if n.mean is None else "span", n.ratio, n.mean) for n in kinds], "kind string, ratio double, mean double")
 
 
-@query()
+@query("""WITH k AS (SELECT * FROM (VALUES (0.15::DOUBLE, 3.0::DOUBLE), (0.5, 8.0), (0.25, NULL)) v(ratio, mean), (VALUES (true), (false)) d(decoder_only)),
+c AS (SELECT *, greatest(raw, 2) AS n FROM k, range(1, 513) r(raw)), o AS (SELECT *, least(greatest(round_even(ratio * n, 0), 1), n - 1) AS noise FROM c), s AS (SELECT *, greatest(round_even(noise / mean, 0), 1) AS spans FROM o),
+f AS (SELECT *, n - noise + spans + decoder_only::INT AS inputs, noise + spans + 1 AS labels FROM s)
+SELECT ratio, mean, decoder_only, CASE WHEN mean IS NULL THEN 255 - decoder_only::INT::BIGINT ELSE max(CASE WHEN CASE WHEN decoder_only THEN inputs + labels ELSE greatest(inputs, labels) END <= 256 THEN raw END) END::BIGINT AS longest FROM f GROUP BY ratio, mean, decoder_only""")
 def DEN2_longest_starts(t):
     kinds = denoise.noisers([(3.0, 0.15), (8.0, 0.5)], [0.25])
     return t.rows([(n.ratio, n.mean, d, denoise.longest_start(256, n, d, d)) for n in kinds for d in (True, False)], "ratio double, mean double, decoder_only boolean, longest long")
