@@ -1,10 +1,11 @@
 """Pairs of texts that have most of their distinct words in common, over collections too large for pairwise comparison.
 
-1. Words in many texts get low weights; the (bounded) table of these words is the only thing broadcast.
-2. Texts with the same words form one class: copies, however many, take part in the search once a partition.
-3. Each class gets a BagMinHash signature (weighted Jaccard, :mod:`.bagminhash`), cut into bands; classes meet where a
-   band agrees. The self-join is a sort-merge join over one shuffle of 24-byte rows, so a hot band spills and is split
-   by adaptive execution instead of filling a task, and a 64-bit sketch in its condition turns away chance meetings.
+1. Texts with the same words form one class: copies, however many, take part in the search once a partition.
+2. Each class gets a BagMinHash signature (:mod:`.bagminhash`) in which all words weigh the same, cut into bands, so
+   that the chance to meet depends on nothing but the common share of the words, whatever else the table holds.
+3. Classes meet where a band agrees. The self-join is a sort-merge join over one shuffle of 32-byte rows, so a hot band
+   spills and is split by adaptive execution instead of filling a task, and a 128-bit sketch in its condition turns away
+   chance meetings: of shorter texts by an exact bound, of longer ones by a wide margin.
 4. The classes that met, found again with a bitmap of fixed size, are verified exactly on their whole word sets.
 """
 
@@ -14,29 +15,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, release
-from .bagminhash import DEPTH, Signer, bands, sketch
-from .words import set_ids, word_sets
+from .bagminhash import Signer, bands
+from .words import mixed, set_ids, word_sets
+
+BITS, LONG = 56, 64
 
 
 @dataclass(frozen=True)
 class Near:
     """``threshold``: common words over words in either, as a fraction of whole numbers (7, 10), reached or exceeded.
-    ``share``: words in more than this share of texts weigh less, down to 1/64; at most ``most_common`` of them are kept.
-    ``rows`` components a band, ``bands`` bands; ``apart``: bits of the 64-bit sketch that may differ.
+    ``rows`` components a band, ``bands`` bands: texts of similarity ``s`` meet with probability 1 - (1 - s^rows)^bands.
+    ``apart``: of the sketch's 120 bits those that may differ where both texts have ``LONG`` words or more.
     ``filter_bits``: size of the bitmap of classes to verify (a power of two)."""
 
     threshold: tuple[int, int] = (7, 10)
-    share: float = 0.006
-    most_common: int = 65_536
     rows: int = 4
     bands: int = 20
-    apart: int = 22
+    apart: int = 38
     filter_bits: int = 1 << 23
 
 
@@ -60,37 +60,30 @@ def _taken(words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np
     return words[np.repeat(offsets[:-1][rows] - bounds[:-1], lengths) + np.arange(bounds[-1])], bounds
 
 
-def common_words(texts: DataFrame, p: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and levels of the words in more than ``share`` of all different texts.
-
-    Copies count once a task, so that a text copied over and over doesn't make its own words common."""
+def sketches(words: np.ndarray, offsets: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two int64 of each text: the number of its words (255: or more) above ``BITS`` bits, and 64 more bits. Texts have
+    words, all distinct.
 
-    def count(batches):
-        total, n, seen = None, 0, np.zeros(0, np.int64)
+    A bit of a text below ``LONG`` words says whether an odd number of its words fall on it, so two such texts differ in
+    at most as many bits as words stand in one of them only. A bit of a longer one is drawn from a component."""
+    sizes, place = np.diff(offsets), words % np.uint64(BITS + 64)
+    first = np.where(place < BITS, np.uint64(1) << (place % np.uint64(BITS)), np.uint64(0))
+    second = np.where(place < BITS, np.uint64(0), np.uint64(1) << ((place - np.uint64(BITS)) % np.uint64(64)))
+    bits = mixed(signatures[:, : BITS + 64].astype(np.uint64)) & np.uint64(1)
+    out = []
+    for odd, own in ((first, bits[:, :BITS]), (second, bits[:, BITS:])):
+        drawn = (own << np.arange(own.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        out.append(np.where(sizes < LONG, np.bitwise_xor.reduceat(odd, offsets[:-1]), drawn))
+    return (out[0] | (np.minimum(sizes, 255).astype(np.uint64) << np.uint64(BITS))).view(np.int64), out[1].view(np.int64)
 
-        def partial():
-            word = np.concatenate([total.index.to_numpy(np.uint64), [np.uint64(0)]]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.concatenate([total.to_numpy(np.int64), [n]]))], ["word", "n"])
 
-        for _, words, offsets in _batches(batches):
-            rows, seen = _fresh(set_ids(words, offsets), seen)
-            word, times = np.unique(_taken(words, offsets, rows)[0], return_counts=True)
-            n += len(rows)
-            total = pd.Series(times, word) if total is None else total.add(pd.Series(times, word), fill_value=0)
-            if len(total) > 200_000:
-                yield partial()
-                total, n = None, 0
-        if total is not None:
-            yield partial()
-
-    counted = texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))  # word 0 counts the texts
-    most = counted.orderBy(F.desc("n"), "word").limit(p.most_common + 1).collect()  # at most most_common + 1
-    n = next((r["n"] for r in most if r["word"] == 0), 0)
-    rows = [r for r in most if r["word"] != 0 and r["n"] > p.share * n]
-    word, times = np.array([r["word"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.float64)
-    order = np.argsort(word)
-    level = np.round((1 << DEPTH) * (np.log(times / max(n, 1)) / np.log(p.share)) ** 2)
-    return word[order], np.clip(level, 1, 1 << DEPTH).astype(np.int64)[order]
+def may_be_near(x: tuple[Column, Column], y: tuple[Column, Column], p: Near) -> Column:
+    """Whether two sketches can be of near-same texts."""
+    more, less = p.threshold[1] + p.threshold[0], p.threshold[1] - p.threshold[0]
+    a, b = F.shiftrightunsigned(x[0], BITS), F.shiftrightunsigned(y[0], BITS)
+    differ = F.bit_count(x[0].bitwiseXOR(y[0]).bitwiseAND(F.lit((1 << BITS) - 1))) + F.bit_count(x[1].bitwiseXOR(y[1]))
+    alike = F.when((a < LONG) & (b < LONG), differ * more <= (a + b) * less).when((a >= LONG) & (b >= LONG), differ <= p.apart).otherwise(True)
+    return (F.least(a, b) * p.threshold[1] >= F.greatest(a, b) * p.threshold[0]) & alike
 
 
 def members(texts: DataFrame) -> DataFrame:
@@ -107,23 +100,22 @@ def members(texts: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame, p: Near) -> DataFrame:
-    """Distinct (a, b), a < b: classes that agree in a band and whose sketches are near."""
-    spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(common_words(texts, p))
+    """Distinct (a, b), a < b: classes that agree in a band and whose sketches may be of near-same texts."""
 
     def sign(batches):
-        signer, seen = Signer(p.rows * p.bands + 64, *common.value), np.zeros(0, np.int64)
+        signer, seen = Signer(p.rows * p.bands, np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0, np.int64)
         for _, words, offsets in _batches(batches):
             cls = set_ids(words, offsets)
             fresh, seen = _fresh(cls, seen)
             if len(fresh):
-                signature = signer.sign(*_taken(words, offsets, fresh))
-                keys, near = bands(signature, p.rows, p.bands), sketch(signature[:, -64:])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls[fresh], p.bands)), pa.array(np.repeat(near[:, 0], p.bands))], ["band", "cls", "sketch"])
+                own = _taken(words, offsets, fresh)
+                signature = signer.sign(*own)
+                keys, (near, more) = bands(signature, p.rows, p.bands), sketches(*own, signature)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls[fresh], p.bands)), pa.array(np.repeat(near, p.bands)), pa.array(np.repeat(more, p.bands))], ["band", "cls", "sketch", "more"])
 
-    rows = texts.select("text").mapInArrow(sign, "band long, cls long, sketch long")
+    rows = texts.select("text").mapInArrow(sign, "band long, cls long, sketch long, more long")
     x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") < F.col("y.cls")) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= p.apart))
+    met = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") < F.col("y.cls")) & may_be_near((F.col("x.sketch"), F.col("x.more")), (F.col("y.sketch"), F.col("y.more")), p))
     return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 

@@ -4,9 +4,11 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, neardup, nearsame, overlap, queries
+from corpusloom.llm import bagminhash, leakage, neardup, nearsame, overlap, queries
 from corpusloom.llm.components import components
 from corpusloom.llm.words import spelt
 
@@ -112,6 +114,41 @@ def test_links_have_their_figures(spark, skewed):
         assert (r["common"], r["either"]) == (len(a & b), len(a | b)) and r["a"] < r["b"] and 10 * r["common"] >= 7 * r["either"]
 
 
+def test_links_between_edits_of_a_hot_text(spark):
+    """A third of all different texts are edits of one: its words are common, but its links are links."""
+    rng = random.Random(12)
+    hot = [f"hot{i}" for i in range(42)]
+    texts = [edited(rng, hot, 3) for _ in range(200)] + [" ".join(f"w{rng.randrange(4000)}" for _ in range(42)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").repartition(4)
+    own = {r["uid"]: r["cls"] for r in nearsame.members(df).collect()}
+    sets = [set(t.split()) for t in texts[:200]]
+    truth = {tuple(sorted((own[a], own[b]))) for a, b in itertools.combinations(range(200), 2) if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    got = {(r["a"], r["b"]) for r in nearsame.links(df.select("text")).collect()}
+    assert got <= truth and len(got) >= 0.99 * len(truth)
+
+
+def test_sketches_turn_no_shorter_link_away(spark):
+    rng = np.random.default_rng(6)
+    pairs, sizes = [], rng.integers(1, 64, 800)
+    for n in sizes.tolist():
+        words = rng.integers(1, 1 << 52, 2 * n + 2).astype(np.uint64)
+        for gone in range(n):  # as far apart as a link can be
+            new = next((k for k in range(n, -1, -1) if 10 * (n - gone) >= 7 * (n + k)), None)
+            if new is None:
+                break
+            last = (words[:n], np.concatenate([words[gone:n], words[n : n + new]]))
+            if rng.random() < 0.3:
+                pairs.append(last)
+        pairs.append(last)
+    signer = bagminhash.Signer(80, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sides = []
+    for own in zip(*pairs):
+        words, offsets = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        sides += [x.tolist() for x in nearsame.sketches(words, offsets, signer.sign(words, offsets))]
+    df = spark.createDataFrame(list(zip(*sides)), "a long, b long, c long, d long")
+    assert df.where(~nearsame.may_be_near((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), nearsame.Near())).count() == 0
+
+
 def test_empty_and_null_tables(spark):
     none = spark.createDataFrame([], "uid long, text string")
     assert neardup.found(none).count() == 0 and neardup.groups(none).count() == 0
