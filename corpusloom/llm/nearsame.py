@@ -35,10 +35,14 @@ class Near:
 
     threshold: tuple[int, int] = (7, 10)
     rows: int = 4
-    bands: int = 20
+    bands: int = 32
     apart: int = 38
     filter_bits: int = 1 << 23
 
+    def recall(self, similarity: float) -> float:
+        """The expected share of links of one ``similarity`` whose texts meet in a band."""
+        return 1 - (1 - similarity**self.rows) ** self.bands
+
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:

@@ -127,6 +127,25 @@ def test_links_between_edits_of_a_hot_text(spark):
     assert got <= truth and len(got) >= 0.99 * len(truth)
 
 
+def test_expected_recall_at_the_threshold():
+    """Of the least similar links, by the bands' formula and by count; longer texts pass the sketch, too."""
+    p = nearsame.Near()
+    assert 1 - (1 - 0.7**p.rows) ** p.bands > 0.9998
+    rng = np.random.default_rng(8)
+    met = passed = 0
+    for _ in range(20):
+        words = rng.integers(1, 1 << 52, (200, 100)).astype(np.uint64)
+        sides = []
+        for own in (words[:, :85], words[:, 15:]):  # 70 common of 100
+            flat, offsets = np.sort(own, axis=1).ravel(), np.arange(201) * 85
+            signature = bagminhash.Signer(p.rows * p.bands, np.zeros(0, np.uint64), np.zeros(0, np.int64)).sign(flat, offsets)
+            sides.append((bagminhash.bands(signature, p.rows, p.bands), *(x.view(np.uint64) for x in nearsame.sketches(flat, offsets, signature))))
+        (a, c, e), (b, d, f) = sides
+        met += (a == b).any(axis=1).sum()
+        passed += (np.bitwise_count((c ^ d) << np.uint64(8)) + np.bitwise_count(e ^ f) <= p.apart).sum()
+    assert met >= 3996 and passed >= 3999
+
+
 def test_sketches_turn_no_shorter_link_away(spark):
     rng = np.random.default_rng(6)
     pairs, sizes = [], rng.integers(1, 64, 800)
