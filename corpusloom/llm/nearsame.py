@@ -90,17 +90,24 @@ def may_be_near(x: tuple[Column, Column], y: tuple[Column, Column], p: Near) ->
     return (F.least(a, b) * p.threshold[1] >= F.greatest(a, b) * p.threshold[0]) & alike
 
 
-def members(texts: DataFrame) -> DataFrame:
-    """(every column but text, cls) of all texts that have words; copies have one ``cls``."""
+def members(texts: DataFrame, ordered: bool = False) -> DataFrame:
+    """(every column but text, cls) of all texts that have words; texts with the same words have one ``cls``.
+
+    ``ordered`` adds ``seq``, which only texts with the same words in the same order share."""
 
     def run(batches):
-        for batch, words, offsets in _batches(batches):
-            cls = set_ids(words, offsets)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            orders = [] if ordered else None
+            cls = set_ids(*word_sets(batch.column("text").to_pylist(), orders))
             out = batch.drop_columns(["text"]).append_column("cls", pa.array(cls))
+            if ordered:
+                out = out.append_column("seq", pa.array(np.concatenate(orders)))
             yield out.filter(pa.array(cls != 0))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    return texts.mapInArrow(run, f"{schema}, cls long")
+    return texts.mapInArrow(run, f"{schema}, cls long{', seq long' if ordered else ''}")
 
 
 def candidates(texts: DataFrame, p: Near) -> DataFrame:

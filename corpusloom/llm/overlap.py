@@ -1,7 +1,8 @@
 """Problem 1: records of evaluation splits that also stand, exactly or almost, in training splits.
 
-The canonical hash of a record (:func:`.nearsame.members`) joins evaluation with training records that agree after
-normalisation; hashes alone cannot see edited records, so the near-same links between hash classes extend that join.
+The hash of a record's word set (:func:`.nearsame.members`) joins evaluation with training records of the same words;
+hashes alone cannot see edited records, so the near-same links between these classes extend that join. The canonical
+hash, of the words in their order, then tells which pairs are exact.
 """
 
 from __future__ import annotations
@@ -39,15 +40,15 @@ def overlaps(rows: DataFrame, p: Near = Near()) -> DataFrame:
     """Every pair of an ``eval`` and a ``train`` row whose texts are near-same, copies included.
 
     ``rows``: uid, source, split, side, text. Gives eval_uid, eval_source, eval_split, train_uid, train_source,
-    train_split, exact (equal after normalisation). Rows with a null uid, side, or no words match nothing. The result
+    train_split, exact (equal after normalisation, word by word in order). Rows with a null uid, side, or no words match nothing. The result
     holds every pair by definition; the search itself runs on classes of copies."""
-    own = members(rows.where("uid is not null and side is not null"))
+    own = members(rows.where("uid is not null and side is not null"), ordered=True)
     found = links(rows.where("side is not null"), p)
     both = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    held = own.where("side = 'eval'").select(F.col("uid").alias("eval_uid"), F.col("source").alias("eval_source"), F.col("split").alias("eval_split"), "cls")
-    near = held.join(both, F.col("cls") == F.col("a")).select("eval_uid", "eval_source", "eval_split", F.col("b").alias("cls"), F.lit(False).alias("exact"))
-    trained = own.where("side = 'train'").select(F.col("uid").alias("train_uid"), F.col("source").alias("train_source"), F.col("split").alias("train_split"), "cls")
-    return held.withColumn("exact", F.lit(True)).unionAll(near).join(trained, "cls").drop("cls")
+    held = own.where("side = 'eval'").select(F.col("uid").alias("eval_uid"), F.col("source").alias("eval_source"), F.col("split").alias("eval_split"), "cls", F.col("seq").alias("eval_seq"))
+    near = held.join(both, F.col("cls") == F.col("a")).select("eval_uid", "eval_source", "eval_split", F.col("b").alias("cls"), "eval_seq")
+    trained = own.where("side = 'train'").select(F.col("uid").alias("train_uid"), F.col("source").alias("train_source"), F.col("split").alias("train_split"), "cls", F.col("seq").alias("train_seq"))
+    return held.unionAll(near).join(trained, "cls").withColumn("exact", F.col("eval_seq") == F.col("train_seq")).drop("cls", "eval_seq", "train_seq")
 
 
 def found(examples: DataFrame, p: Near = Near()) -> DataFrame:

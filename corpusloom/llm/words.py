@@ -202,14 +202,17 @@ DOC_BITS = 12
 WORD_MASK = np.uint64((1 << (64 - DOC_BITS)) - 1)
 
 
-def word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_sets(texts: list[str | None], orders: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`word_hashes`, but each text's words distinct, ascending, and hashes cut to 52 bits.
 
-    Text number and hash share one 64-bit sort key, which numpy sorts several times as fast as two columns."""
+    Text number and hash share one 64-bit sort key, which numpy sorts several times as fast as two columns.
+    ``orders``, where given, gets the :func:`sequence_ids` of the texts."""
     parts, counts = [], []
     for a in range(0, len(texts), 1 << DOC_BITS):
         some = texts[a : a + (1 << DOC_BITS)]
         hashes, offsets = word_hashes(some)
+        if orders is not None:
+            orders.append(sequence_ids(hashes, offsets))
         doc = np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(offsets))
         keys = np.sort((hashes & WORD_MASK) | (doc << np.uint64(64 - DOC_BITS)))
         new = np.ones(len(keys), bool)
@@ -222,6 +225,16 @@ def word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
+def sequence_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each text's words in their order, repeats included (int64); 0 for no words."""
+    out, lengths = np.zeros(len(offsets) - 1, np.uint64), np.diff(offsets)
+    full = np.flatnonzero(lengths)
+    if len(full):
+        place = (np.arange(len(hashes)) - np.repeat(offsets[:-1], lengths)).astype(np.uint64)
+        out[full] = mixed(np.add.reduceat(mixed(hashes ^ mixed(place + np.uint64(1))), offsets[:-1][full]))
+    return out.view(np.int64)
+
+
 def set_ids(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit id of each set of words (int64); 0 for the empty set."""
     out = np.zeros(len(offsets) - 1, np.uint64)

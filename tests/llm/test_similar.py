@@ -57,6 +57,15 @@ def test_p1_counts_add_up(spark, folder):
     assert all(r["rows_exact"] <= r["rows_overlapping"] <= r["eval_rows"] for r in got)
 
 
+def test_exact_means_the_same_words_in_order(spark):
+    rows = [(1, "train", "a b c"), (2, "test", "A b, c"), (3, "test", "c b a"), (4, "test", "a b c c"), (5, "test", "x y")]
+    df = spark.createDataFrame(rows, "example_id long, folder_split string, query string").selectExpr("*", "folder_split hf_split", "'s' source")
+    exact = {r["eval_uid"]: r["exact"] for r in overlap.overlaps(overlap.records(df)).collect()}
+    assert exact == {2: True, 3: False, 4: False}
+    got = overlap.counts(df).first()
+    assert (got["rows_exact"], got["rows_overlapping"], got["pairs"]) == (1, 3, 3)
+
+
 def test_p2_found_equals_brute_force(spark, folder):
     rows = neardup.both_tables(spark.read.parquet(f"{folder}/finetune_example.parquet"), spark.read.parquet(f"{folder}/mc_items.parquet")).collect()
     groups = groups_of({r["uid"]: r["text"] for r in rows})
