@@ -100,7 +100,8 @@ def draw(documents: DataFrame, targets: DataFrame, total: int | None = None, see
     max_repeats. Without ``total`` a mix is as large as exact shares allow; a larger ``total`` fills what it can. Null
     and blank texts and documents without a source of the mix are never drawn. A source without any tokens gets
     nothing and the others keep their proportions. Each stretch is closed with the ``closing`` next documents on the
-    line, largest first where they fit, so a source misses its quota by less than a small document."""
+    line, largest first where they fit, so a source misses its quota by less than a small document. Stretches of
+    documents with several sources aren't closed: each may miss its part of the quota by up to a whole document."""
     spark = documents.sparkSession
     held = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).limit(MOST_TARGETS + 1).collect()
     if len(held) > MOST_TARGETS:
