@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import sinks, sources
 from .functions import tokenize as K
 from .operators import collate, concat, packing, pairs, runs
+from .plans.lineage import scope
 
 
 def _read(spark: SparkSession, path: str, format: str) -> DataFrame:
@@ -110,7 +111,8 @@ def main(argv: list[str] | None = None) -> None:
             c.add_argument("--filters", nargs="*", default=[])
             c.add_argument("--out")
     args = parser.parse_args(argv)
-    args.function(SparkSession.builder.appName("corpusloom").getOrCreate(), args)
+    with scope():
+        args.function(SparkSession.builder.appName("corpusloom").getOrCreate(), args)
 
 
 if __name__ == "__main__":

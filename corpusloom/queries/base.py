@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import shared_folder
+from ..plans.lineage import new_path
 
 registered: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 sql: dict[str, str] = {}
@@ -27,8 +26,8 @@ class Tables:
         return self.spark.createDataFrame(values, schema)
 
     def scratch(self) -> str:
-        """A new folder in the shared one, for queries that write and read again."""
-        return f"{shared_folder(self.spark)}/corpusloom-{uuid.uuid4().hex}"
+        """A new folder in the shared one, for queries that write and read again; dropped with its scope."""
+        return new_path(self.spark)
 
 
 def query(oracle: str | None = None):
