@@ -15,7 +15,7 @@ def partitions(df: DataFrame, factor: float = 1.0, target: int = 64 << 20, most:
     """Partitions of about ``target`` bytes for a shuffle of ``factor`` times the bytes that the planner expects of ``df``;
     the session's own number where that is more, or the size isn't known."""
     least = int(df.sparkSession.conf.get(PARTITIONS))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return least if size >= UNKNOWN else max(least, min(most, int(size * factor / target) + 1))
 
 

@@ -17,14 +17,16 @@ def test_tables_go_with_their_scope(spark):
 
 
 def test_no_machine_local_folder_on_several_processes(spark):
-    class Context:
-        master = "local-cluster[2,1,1024]"
-        _jsc = spark.sparkContext._jsc
+    class Unset:
+        def __getattr__(self, name):
+            return lambda *given: None if name == "get" else False if name == "isDefined" else self
 
     class Session:
-        sparkContext = Context()
-        conf = spark.conf
+        conf = Unset()
+        sparkContext = Unset()
 
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    Session.sparkContext._jsc = Unset()
     with pytest.raises(ValueError):
         lineage.shared_folder(Session())
 
