@@ -31,6 +31,8 @@ def first_points(words: np.ndarray, levels: np.ndarray, components: int) -> np.n
     n = len(words)
     seed = mixed(words[:, None] + np.arange(1, components + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
     at = -np.log(_uniform(seed))  # of the whole axis, rate 1
+    if (levels >= 1 << DEPTH).all():
+        return at.astype(np.float32)
     best = np.full((n, components), np.inf)
     best[levels >= 1 << DEPTH] = at[levels >= 1 << DEPTH]
     path = np.zeros(n, np.int64)  # the level where the current node begins
@@ -47,48 +49,60 @@ def first_points(words: np.ndarray, levels: np.ndarray, components: int) -> np.n
     return best.astype(np.float32)
 
 
+def weighted(words: np.ndarray, levels: np.ndarray | int = 1 << DEPTH) -> np.ndarray:
+    """Words (52 bits) and their levels in one uint64 each."""
+    return (words << np.uint64(DEPTH + 1)) | np.asarray(levels, np.uint64)
+
+
 class Signer:
-    """Signatures of texts given as word hashes; holds the processes of the words seen last."""
+    """Signatures of texts given as weighted words; holds the processes of the words seen last."""
 
-    def __init__(self, components: int, common: np.ndarray, common_levels: np.ndarray):
-        """``common`` (sorted) are the words whose levels differ from the highest."""
-        self.components, self.common, self.common_levels = components, common, common_levels
+    def __init__(self, components: int):
+        self.components = components
         self.words = np.zeros(0, np.uint64)
         self.points = np.zeros((0, components), np.float32)
 
-    def levels(self, words: np.ndarray) -> np.ndarray:
-        out = np.full(len(words), 1 << DEPTH, np.int64)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
-            known = self.common[at] == words
-            out[known] = self.common_levels[at[known]]
-        return out
-
     def _learn(self, words: np.ndarray) -> None:
+        """``words``: distinct, ascending."""
         new = np.setdiff1d(words, self.words, assume_unique=True)
         if len(new):
             if len(self.words) + len(new) > CACHE_WORDS and len(self.words):
                 self.words, self.points, new = self.words[:0], self.points[:0], words
-            points = np.concatenate([self.points, *(first_points(new[i : i + 512], self.levels(new[i : i + 512]), self.components) for i in range(0, len(new), 512))])
+            low = np.uint64((1 << (DEPTH + 1)) - 1)
+            parts = (new[i : i + 512] for i in range(0, len(new), 512))
+            points = np.concatenate([self.points, *(first_points(x >> np.uint64(DEPTH + 1), (x & low).astype(np.int64), self.components) for x in parts)])
             every = np.concatenate([self.words, new])
             order = np.argsort(every)
             self.words, self.points = every[order], points[order]
 
     def sign(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """float32 texts x components as their bits (uint32); texts without words get zeros. Words of a text are distinct."""
+        """float32 texts x components as their bits (uint32); texts without words get zeros. Weighted words of a text are distinct."""
         n = len(offsets) - 1
         out = np.zeros((n, self.components), np.uint32)
-        for a in range(0, n, 256):
-            b = min(a + 256, n)
+        for a, b in self._blocks(offsets):
             some = words[offsets[a] : offsets[b]]
             if not len(some):
                 continue
             unique, inverse = np.unique(some, return_inverse=True)
             self._learn(unique)
-            at = np.searchsorted(self.words, unique)[inverse]
-            full = np.flatnonzero(np.diff(offsets[a : b + 1]))
-            least = np.minimum.reduceat(self.points[at], offsets[a:b][full] - offsets[a], axis=0)
-            out[a + full] = least.view(np.uint32)
+            place = np.searchsorted(self.words, unique)[inverse]
+            for c in range(a, b, 256):  # few enough for the processor's cache, unless a text is long
+                d = min(c + 256, b)
+                own = offsets[c : d + 1] - offsets[a]
+                full = np.flatnonzero(np.diff(own))
+                if len(full):
+                    least = np.minimum.reduceat(self.points[place[own[0] : own[-1]]], own[:-1][full] - own[0], axis=0)
+                    out[c + full] = least.view(np.uint32)
+        return out
+
+    @staticmethod
+    def _blocks(offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Texts in blocks of about 100,000 words."""
+        out, a, n = [], 0, len(offsets) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 100_000, "right")) - 1)
+            out.append((a, b))
+            a = b
         return out
 
 
@@ -101,9 +115,3 @@ def bands(signatures: np.ndarray, rows: int, count: int) -> np.ndarray:
             key = mixed(key ^ signatures[:, j])
         out[:, i] = key
     return out.view(np.int64)
-
-
-def sketch(signatures: np.ndarray) -> np.ndarray:
-    """One bit of each component, 64 to an int64; two texts' bits differ in about half of the components that differ."""
-    bits = (mixed(signatures.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)

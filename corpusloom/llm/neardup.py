@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
 from .components import components
 from .nearsame import Near, links, members
 
@@ -15,10 +14,10 @@ def groups(rows: DataFrame, p: Near = Near()) -> DataFrame:
 
     Records are in one group when their classes are linked by a chain of near-same classes; every record without a
     link is its own class's group. Null uids and wordless texts are left out."""
-    found = cut(links(rows, p))
+    found = links(rows, p)
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     roots = components(found).join(ends, "node", "left")
-    own = members(rows.select("uid", "text").where("uid is not null"))
+    own = members(rows.select("uid", "text").where("uid is not null"), p)
     return own.join(roots, F.col("cls") == F.col("node"), "left").select("uid", "cls", F.coalesce("root", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -1,27 +1,32 @@
-"""Pairs of texts that have most of their distinct words in common, over collections too large for pairwise comparison.
+"""Pairs of texts that have most of their words in common, over collections too large for pairwise comparison.
 
-1. Texts with the same words form one class: copies, however many, take part in the search once a partition.
-2. Each class gets a BagMinHash signature (:mod:`.bagminhash`) in which all words weigh the same, cut into bands, so
-   that the chance to meet depends on nothing but the common share of the words, whatever else the table holds.
+1. Texts with the same words form one class: copies, however many, take part in the search once. The classes and their
+   words are shuffled once, by class, and kept on the executors' disks in that layout (a lost part is computed again).
+2. Each class gets a BagMinHash signature (:mod:`.bagminhash`), cut into bands. The weight of a word is the number of
+   its occurrences where bags are compared, and the same for all words where sets are, so that the chance to meet depends
+   on nothing but the common share of the words, whatever else the table holds.
 3. Classes meet where a band agrees. The self-join is a sort-merge join over one shuffle of 32-byte rows, so a hot band
    spills and is split by adaptive execution instead of filling a task, and a 128-bit sketch in its condition turns away
    chance meetings: of shorter texts by an exact bound, of longer ones by a wide margin.
-4. The classes that met, found again with a bitmap of fixed size, are verified exactly on their whole word sets.
+4. The classes that met are verified exactly on all their words. The words stay where they are; pairs of ids come to them.
+
+The number of partitions grows with the input; no filter, list or table is collected or broadcast by this module.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, release
-from .bagminhash import Signer, bands
-from .words import mixed, set_ids, word_sets
+from ..plans.lineage import cut, drop, release
+from ..plans.sizing import partitions, shuffled_into
+from .bagminhash import DEPTH, Signer, bands, weighted
+from .words import mixed, occurrences, runs, set_ids, word_sets
 
 BITS, LONG = 56, 64
 
@@ -29,25 +34,26 @@ BITS, LONG = 56, 64
 @dataclass(frozen=True)
 class Near:
     """``threshold``: common words over words in either, as a fraction of whole numbers (7, 10), reached or exceeded.
-    ``rows`` components a band, ``bands`` bands: texts of similarity ``s`` meet with probability 1 - (1 - s^rows)^bands.
-    ``apart``: of the sketch's 120 bits those that may differ where both texts have ``LONG`` words or more.
-    ``filter_bits``: size of the bitmap of classes to verify (a power of two)."""
+    ``bag``: words count as often as they occur, not once. ``rows`` components a band, ``bands`` bands: texts of
+    similarity ``s`` meet with probability 1 - (1 - s^rows)^bands; in signatures of bags, not in their verification,
+    2**DEPTH occurrences of a word weigh as much as more. ``apart``: of the sketch's 120 bits those that may differ where
+    both texts have ``LONG`` words or more; 120 turns none of those away."""
 
     threshold: tuple[int, int] = (7, 10)
+    bag: bool = False
     rows: int = 4
     bands: int = 32
     apart: int = 38
-    filter_bits: int = 1 << 23
 
     def recall(self, similarity: float) -> float:
         """The expected share of links of one ``similarity`` whose texts meet in a band."""
         return 1 - (1 - similarity**self.rows) ** self.bands
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch, *word_sets(batch.column("text").to_pylist())
+def _elements(texts: list[str | None], p: Near, orders: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (repeated in bags), the set elements that stand for them, and the texts' offsets in both."""
+    words, offsets = word_sets(texts, orders, p.bag)
+    return words, occurrences(words, offsets) if p.bag else words, offsets
 
 
 def _fresh(cls: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +96,7 @@ def may_be_near(x: tuple[Column, Column], y: tuple[Column, Column], p: Near) ->
     return (F.least(a, b) * p.threshold[1] >= F.greatest(a, b) * p.threshold[0]) & alike
 
 
-def members(texts: DataFrame, ordered: bool = False) -> DataFrame:
+def members(texts: DataFrame, p: Near = Near(), ordered: bool = False) -> DataFrame:
     """(every column but text, cls) of all texts that have words; texts with the same words have one ``cls``.
 
     ``ordered`` adds ``seq``, which only texts with the same words in the same order share."""
@@ -100,7 +106,8 @@ def members(texts: DataFrame, ordered: bool = False) -> DataFrame:
             if not batch.num_rows:
                 continue
             orders = [] if ordered else None
-            cls = set_ids(*word_sets(batch.column("text").to_pylist(), orders))
+            _, elements, offsets = _elements(batch.column("text").to_pylist(), p, orders)
+            cls = set_ids(elements, offsets)
             out = batch.drop_columns(["text"]).append_column("cls", pa.array(cls))
             if ordered:
                 out = out.append_column("seq", pa.array(np.concatenate(orders)))
@@ -110,21 +117,51 @@ def members(texts: DataFrame, ordered: bool = False) -> DataFrame:
     return texts.mapInArrow(run, f"{schema}, cls long{', seq long' if ordered else ''}")
 
 
-def candidates(texts: DataFrame, p: Near) -> DataFrame:
+def classes(texts: DataFrame, p: Near, number: int) -> DataFrame:
+    """(cls, words): one row a class, laid out by class in ``number`` partitions. A task sends a class on once."""
+
+    def run(batches):
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                words, elements, offsets = _elements(batch.column("text").to_pylist(), p)
+                cls = set_ids(elements, offsets)
+                fresh, seen = _fresh(cls, seen)
+                own, bounds = _taken(words, offsets, fresh)
+                held = pa.Array.from_buffers(pa.large_binary(), len(fresh), [None, pa.py_buffer(bounds * 8), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[fresh]), held.cast(pa.binary())], ["cls", "words"])
+
+    rows = texts.select("text").mapInArrow(run, "cls long, words binary").repartition(number, "cls")
+    return rows.groupBy("cls").agg(F.first("words").alias("words"))
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a column of classes, and their offsets."""
+    held = column.to_pylist()
+    sizes = np.array([len(x) >> 3 for x in held], np.int64)
+    return np.frombuffer(b"".join(held), np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def candidates(held: DataFrame, p: Near) -> DataFrame:
     """Distinct (a, b), a < b: classes that agree in a band and whose sketches may be of near-same texts."""
 
     def sign(batches):
-        signer, seen = Signer(p.rows * p.bands, np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0, np.int64)
-        for _, words, offsets in _batches(batches):
-            cls = set_ids(words, offsets)
-            fresh, seen = _fresh(cls, seen)
-            if len(fresh):
-                own = _taken(words, offsets, fresh)
-                signature = signer.sign(*own)
-                keys, (near, more) = bands(signature, p.rows, p.bands), sketches(*own, signature)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls[fresh], p.bands)), pa.array(np.repeat(near, p.bands)), pa.array(np.repeat(more, p.bands))], ["band", "cls", "sketch", "more"])
-
-    rows = texts.select("text").mapInArrow(sign, "band long, cls long, sketch long, more long")
+        signer = Signer(p.rows * p.bands)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, offsets = _unpacked(batch.column("words"))
+            if p.bag:
+                starts, _ = runs(words, offsets)
+                many = np.diff(np.append(starts, len(words)))
+                signature = signer.sign(weighted(words[starts], np.minimum(many, 1 << DEPTH)), np.searchsorted(starts, offsets))
+                words = occurrences(words, offsets)
+            else:
+                signature = signer.sign(weighted(words), offsets)
+            keys, (near, more) = bands(signature, p.rows, p.bands), sketches(words, offsets, signature)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("cls").to_numpy(), p.bands)), pa.array(np.repeat(near, p.bands)), pa.array(np.repeat(more, p.bands))], ["band", "cls", "sketch", "more"])
+
+    rows = held.mapInArrow(sign, "band long, cls long, sketch long, more long")
     x, y = rows.alias("x"), rows.alias("y")
     met = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") < F.col("y.cls")) & may_be_near((F.col("x.sketch"), F.col("x.more")), (F.col("y.sketch"), F.col("y.more")), p))
     return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
@@ -134,38 +171,19 @@ def links(texts: DataFrame, p: Near = Near()) -> DataFrame:
     """(a, b, common, either) of classes a < b that are near-same: ``common / either`` reaches the threshold.
 
     ``texts`` has a string column ``text``. Null and wordless texts have no class; copies have one, so a pair of copies
-    is no link; an empty table gives no links. Texts of any length take part whole."""
+    is no link; an empty table gives no links. Texts of any length take part whole. The result is a cut table."""
     spark = texts.sparkSession
-    pairs = cut(candidates(texts, p))
-    release(spark)
-    bits = p.filter_bits
-    slot = F.col("c").bitwiseAND(F.lit(bits - 1))
-    wanted = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c")))
-    filled = wanted.groupBy(F.shiftrightunsigned(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(c & 63 as int))")).alias("bits")).collect()  # at most filter_bits / 64 rows
-    bitmap = np.zeros(bits // 64, np.uint64)
-    bitmap[[r[0] for r in filled]] = np.array([r[1] for r in filled], np.int64).view(np.uint64)
-    bitmap = spark.sparkContext.broadcast(bitmap)
-
-    def sets(batches):
-        seen = np.zeros(0, np.int64)
-        for _, words, offsets in _batches(batches):
-            cls = set_ids(words, offsets)
-            own, first = np.unique(cls, return_index=True)
-            place = own.view(np.uint64) & np.uint64(bits - 1)
-            hit = ((bitmap.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-            fresh = first[(own != 0) & hit & ~np.isin(own, seen, assume_unique=True)]
-            seen = np.union1d(seen, own[hit])
-            if len(fresh):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[fresh]), pa.array([words[offsets[i] : offsets[i + 1]].tobytes() for i in fresh], pa.binary())], ["cls", "words"])
 
     def verify(batches):
         for batch in batches:
-            one, two = batch.column("one").to_pylist(), batch.column("two").to_pylist()
-            sizes = np.array([len(x) // 8 for x in one], np.int64) + np.array([len(x) // 8 for x in two], np.int64)
-            if not len(sizes):
+            if not batch.num_rows:
                 continue
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            every = np.frombuffer(b"".join(x + y for x, y in zip(one, two)), np.uint64)
+            (one, ends), (two, stops) = _unpacked(batch.column("one")), _unpacked(batch.column("two"))
+            if p.bag:
+                one, two = occurrences(one, ends), occurrences(two, stops)
+            sizes = np.diff(ends) + np.diff(stops)
+            doc = np.concatenate([np.repeat(np.arange(len(sizes)), np.diff(x)) for x in (ends, stops)])
+            every = np.concatenate([one, two])
             order = np.lexsort((every, doc))
             every, doc = every[order], doc[order]
             same = (every[1:] == every[:-1]) & (doc[1:] == doc[:-1])
@@ -173,7 +191,17 @@ def links(texts: DataFrame, p: Near = Near()) -> DataFrame:
             near = common * p.threshold[1] >= (sizes - common) * p.threshold[0]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(sizes - common)], ["a", "b", "common", "either"]).filter(pa.array(near))
 
-    held = texts.select("text").mapInArrow(sets, "cls long, words binary").groupBy("cls").agg(F.first("words").alias("words"))
-    with_one = pairs.join(held.withColumnRenamed("words", "one"), F.col("a") == F.col("cls")).drop("cls")
-    with_two = with_one.join(held.withColumnRenamed("words", "two"), F.col("b") == F.col("cls")).drop("cls")
-    return with_two.mapInArrow(verify, "a long, b long, common long, either long")
+    number = partitions(texts, 2.0)
+    held = classes(texts, p, number).persist(StorageLevel.DISK_ONLY)
+    try:
+        with shuffled_into(spark, max(number, partitions(texts, 4.0))):
+            pairs = cut(candidates(held, p))
+        release(spark)
+        with shuffled_into(spark, number):
+            with_one = pairs.join(held.withColumnRenamed("words", "one"), F.col("a") == F.col("cls")).drop("cls")
+            with_two = with_one.join(held.withColumnRenamed("words", "two"), F.col("b") == F.col("cls")).drop("cls")
+            found = cut(with_two.mapInArrow(verify, "a long, b long, common long, either long"))
+    finally:
+        held.unpersist()
+    drop(pairs)
+    return found

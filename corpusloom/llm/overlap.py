@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .nearsame import Near, links, members
 
 
@@ -42,7 +43,7 @@ def overlaps(rows: DataFrame, p: Near = Near()) -> DataFrame:
     ``rows``: uid, source, split, side, text. Gives eval_uid, eval_source, eval_split, train_uid, train_source,
     train_split, exact (equal after normalisation, word by word in order). Rows with a null uid, side, or no words match nothing. The result
     holds every pair by definition; the search itself runs on classes of copies."""
-    own = members(rows.where("uid is not null and side is not null"), ordered=True)
+    own = cut(members(rows.where("uid is not null and side is not null"), p, ordered=True))  # read on both sides
     found = links(rows.where("side is not null"), p)
     both = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     held = own.where("side = 'eval'").select(F.col("uid").alias("eval_uid"), F.col("source").alias("eval_source"), F.col("split").alias("eval_split"), "cls", F.col("seq").alias("eval_seq"))

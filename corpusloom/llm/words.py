@@ -202,8 +202,8 @@ DOC_BITS = 12
 WORD_MASK = np.uint64((1 << (64 - DOC_BITS)) - 1)
 
 
-def word_sets(texts: list[str | None], orders: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`word_hashes`, but each text's words distinct, ascending, and hashes cut to 52 bits.
+def word_sets(texts: list[str | None], orders: list[np.ndarray] | None = None, repeated: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`word_hashes`, but each text's words distinct (unless ``repeated``), ascending, and hashes cut to 52 bits.
 
     Text number and hash share one 64-bit sort key, which numpy sorts several times as fast as two columns.
     ``orders``, where given, gets the :func:`sequence_ids` of the texts."""
@@ -215,9 +215,10 @@ def word_sets(texts: list[str | None], orders: list[np.ndarray] | None = None) -
             orders.append(sequence_ids(hashes, offsets))
         doc = np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(offsets))
         keys = np.sort((hashes & WORD_MASK) | (doc << np.uint64(64 - DOC_BITS)))
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        keys = keys[new]
+        if not repeated:
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            keys = keys[new]
         parts.append(keys & WORD_MASK)
         counts.append(np.bincount((keys >> np.uint64(64 - DOC_BITS)).astype(np.int64), minlength=len(some)))
     if not parts:
@@ -225,6 +226,22 @@ def word_sets(texts: list[str | None], orders: list[np.ndarray] | None = None) -
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
+def runs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of equal words within each text, and for every word its place in its run (0: the first)."""
+    new = np.ones(len(words), bool)
+    new[1:] = words[1:] != words[:-1]
+    new[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(new)
+    return starts, np.arange(len(words)) - np.repeat(starts, np.diff(np.append(starts, len(words))))
+
+
+def occurrences(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Ascending words with repeats as elements of a set: the k-th occurrence of a word becomes an element of its own
+    (the first is the word itself), so set overlap of elements is multiset overlap of words."""
+    _, place = runs(words, offsets)
+    return np.where(place == 0, words, mixed(words ^ mixed(place.astype(np.uint64))) & WORD_MASK)
+
+
 def sequence_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit id of each text's words in their order, repeats included (int64); 0 for no words."""
     out, lengths = np.zeros(len(offsets) - 1, np.uint64), np.diff(offsets)

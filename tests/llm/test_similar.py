@@ -147,7 +147,7 @@ def test_expected_recall_at_the_threshold():
         sides = []
         for own in (words[:, :85], words[:, 15:]):  # 70 common of 100
             flat, offsets = np.sort(own, axis=1).ravel(), np.arange(201) * 85
-            signature = bagminhash.Signer(p.rows * p.bands, np.zeros(0, np.uint64), np.zeros(0, np.int64)).sign(flat, offsets)
+            signature = bagminhash.Signer(p.rows * p.bands).sign(bagminhash.weighted(flat), offsets)
             sides.append((bagminhash.bands(signature, p.rows, p.bands), *(x.view(np.uint64) for x in nearsame.sketches(flat, offsets, signature))))
         (a, c, e), (b, d, f) = sides
         met += (a == b).any(axis=1).sum()
@@ -168,11 +168,11 @@ def test_sketches_turn_no_shorter_link_away(spark):
             if rng.random() < 0.3:
                 pairs.append(last)
         pairs.append(last)
-    signer = bagminhash.Signer(80, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    signer = bagminhash.Signer(120)
     sides = []
     for own in zip(*pairs):
         words, offsets = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
-        sides += [x.tolist() for x in nearsame.sketches(words, offsets, signer.sign(words, offsets))]
+        sides += [x.tolist() for x in nearsame.sketches(words, offsets, signer.sign(bagminhash.weighted(words), offsets))]
     df = spark.createDataFrame(list(zip(*sides)), "a long, b long, c long, d long")
     assert df.where(~nearsame.may_be_near((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), nearsame.Near())).count() == 0
 

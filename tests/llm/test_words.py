@@ -63,10 +63,10 @@ def test_signatures_are_unbiased():
 def test_signer_forgets_without_changing(monkeypatch):
     rng = np.random.default_rng(1)
     own = np.sort(rng.integers(0, 2**52, 400).astype(np.uint64))
-    offsets = np.arange(0, 401, 20)
-    full = bagminhash.Signer(32, np.zeros(0, np.uint64), np.zeros(0, np.int64)).sign(own, offsets)
+    own, offsets = bagminhash.weighted(own, rng.integers(1, 65, 400)), np.arange(0, 401, 20)
+    full = bagminhash.Signer(32).sign(own, offsets)
     monkeypatch.setattr(bagminhash, "CACHE_WORDS", 50)
-    small = bagminhash.Signer(32, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    small = bagminhash.Signer(32)
     assert all((small.sign(own[a:b], np.array([0, b - a])) == full[i]).all() for i, (a, b) in enumerate(zip(offsets, offsets[1:])))
 
 
