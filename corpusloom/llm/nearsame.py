@@ -16,6 +16,7 @@ The number of partitions grows with the input; no filter, list or table is colle
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -205,3 +206,65 @@ def links(texts: DataFrame, p: Near = Near()) -> DataFrame:
         held.unpersist()
     drop(pairs)
     return found
+
+
+def by_force(texts: DataFrame, chosen: DataFrame, p: Near = Near(), block_words: int = 1 << 22) -> DataFrame:
+    """(a, b, common, either) of every class ``a`` of ``chosen`` (cls) and every other class ``b`` that are near-same,
+    without signatures: each chosen class is compared with all classes. For checks of :func:`links`.
+
+    Chosen classes are broadcast in blocks of about ``block_words`` words; each block is one pass over the classes,
+    which counts common words in an index of the block's words. The result is a cut table."""
+    spark, number = texts.sparkSession, partitions(texts, 2.0)
+    held = classes(texts, p, number).persist(StorageLevel.DISK_ONLY)
+    schema, out = "a long, b long, common long, either long", None
+    try:
+        picked = cut(held.join(chosen.select("cls").distinct(), "cls", "left_semi"))
+        blocks = -(-(picked.agg(F.sum(F.length("words"))).first()[0] or 0) // (8 * block_words))
+        for i in range(blocks):
+            block = picked.where(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == i).toArrow().combine_chunks()
+            block = spark.sparkContext.broadcast((block.column("cls").to_numpy(), *_unpacked(block.column("words"))))
+            some = cut(held.mapInArrow(partial(_compared, block=block, p=p), schema))
+            out = some if out is None else out.unionAll(some)
+    finally:
+        held.unpersist()
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _compared(batches, block, p: Near):
+    ids, words, ends = block.value
+    words = occurrences(words, ends) if p.bag else words
+    query = np.repeat(np.arange(len(ids)), np.diff(ends))
+    order = np.argsort(words, kind="stable")
+    words, query, wanted = words[order], query[order], np.diff(ends)
+    for batch in batches:
+        every, offsets = _unpacked(batch.column("words"))
+        every = occurrences(every, offsets) if p.bag else every
+        cls, sizes = batch.column("cls").to_numpy(), np.diff(offsets)
+        first, last = np.searchsorted(words, every, "left"), np.searchsorted(words, every, "right")
+        met = np.concatenate([[0], np.cumsum(last - first)])[offsets]  # postings before each class
+        a = 0
+        while a < len(cls):
+            b = min(max(a + 1, int(np.searchsorted(met, met[a] + (1 << 22), "right")) - 1), a + max(1, (1 << 23) // max(len(ids), 1)), len(cls))
+            lo, n = first[offsets[a] : offsets[b]], (last - first)[offsets[a] : offsets[b]]
+            posting = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            row = np.repeat(np.repeat(np.arange(b - a), sizes[a:b]), n)
+            common = np.bincount(row * len(ids) + query[posting], minlength=(b - a) * len(ids)).reshape(b - a, len(ids))
+            either = sizes[a:b, None] + wanted[None, :] - common
+            i, j = np.nonzero((common * p.threshold[1] >= either * p.threshold[0]) & (cls[a:b, None] != ids[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(cls[a:b][i]), pa.array(common[i, j]), pa.array(either[i, j])], ["a", "b", "common", "either"])
+            a = b
+
+
+def recall(rows: DataFrame, p: Near = Near(), every: int = 20) -> DataFrame:
+    """Of the links that the classes of all rows (uid, text) with ``uid`` divisible by ``every`` have to any class, by
+    tenths of similarity: (similarity, links, found, wrong, recall, least_expected). ``found`` of them :func:`links`
+    gives, ``wrong`` it gives beside them; ``least_expected`` is the expected recall at the lower end of the tenth."""
+    chosen = members(rows.select("uid", "text"), p).where(F.col("uid") % every == 0).select("cls").distinct()
+    true = by_force(rows, chosen, p)
+    got = links(rows, p)
+    got = got.select("a", "b", "common", "either").unionAll(got.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", "either"))
+    got = got.join(chosen.withColumnRenamed("cls", "a"), "a", "left_semi").withColumn("hit", F.lit(1))
+    both = true.withColumn("truth", F.lit(1)).join(got, ["a", "b", "common", "either"], "full")
+    low = F.expr("10 * common div either") / 10
+    per = both.groupBy(low.alias("similarity")).agg(F.count("truth").alias("links"), F.count_if(F.expr("truth is not null and hit is not null")).alias("found"), F.count_if(F.expr("truth is null")).alias("wrong"))
+    return per.select("similarity", "links", "found", "wrong", F.try_divide("found", "links").alias("recall"), (1 - F.pow(1 - F.pow("similarity", p.rows), p.bands)).alias("least_expected"))

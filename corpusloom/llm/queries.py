@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, neardup, overlap, packing, pairs, splitting
+from . import leakage, mixing, neardup, nearsame, overlap, packing, pairs, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def p2_groups(spark, folder):
     return neardup.groups(neardup.both_tables(_table(spark, folder, "finetune_example"), _table(spark, folder, "mc_items")))
 
 
+def p2_recall(spark, folder):
+    return nearsame.recall(neardup.both_tables(_table(spark, folder, "finetune_example"), _table(spark, folder, "mc_items")))
+
+
+def p2_bags(spark, folder):
+    return neardup.groups(neardup.both_tables(_table(spark, folder, "finetune_example"), _table(spark, folder, "mc_items")), nearsame.Near(bag=True))
+
+
 def p3_found(spark, folder):
     return pairs.defects(_table(spark, folder, "tasks"))
 
@@ -84,7 +92,7 @@ def p7_found(spark, folder):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_items, p5_pack, p5_unused, p6_draw, p6_shares, p7_found, p7_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p2_recall, p2_bags, p3_found, p3_report, p4_found, p4_items, p5_pack, p5_unused, p6_draw, p6_shares, p7_found, p7_pieces)}
 
 
 #: White space as Python and Unicode have it, for an engine whose own class knows ASCII only.
