@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, neardup, nearsame, overlap, packing, pairs, splitting
+from . import edited, leakage, mixing, neardup, nearsame, overlap, packing, pairs, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def p4_items(spark, folder):
     return leakage.items_report(leakage.leaks(_table(spark, folder, "documents"), items), items)
 
 
+def p4_edited(spark, folder):
+    return edited.leaks(_table(spark, folder, "documents"), _held_out(spark, folder))
+
+
 def _specs(spark, folder, purpose):
     """The few rows of ``length_specs``, checked to be few."""
     rows = _table(spark, folder, "length_specs").where(F.col("purpose") == purpose).limit(1001).collect()
@@ -92,7 +96,7 @@ def p7_found(spark, folder):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p2_recall, p2_bags, p3_found, p3_report, p4_found, p4_items, p5_pack, p5_unused, p6_draw, p6_shares, p7_found, p7_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_groups, p2_recall, p2_bags, p3_found, p3_report, p4_found, p4_items, p4_edited, p5_pack, p5_unused, p6_draw, p6_shares, p7_found, p7_pieces)}
 
 
 #: White space as Python and Unicode have it, for an engine whose own class knows ASCII only.

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bagminhash, leakage, neardup, nearsame, overlap, queries
+from corpusloom.llm import edited as search
 from corpusloom.llm.components import components
 from corpusloom.llm.words import spelt
 
@@ -296,15 +297,112 @@ def test_leaks_at_the_edges(spark):
     assert leakage.leaks(df.limit(0), held).count() == 0 and leakage.leaks(df, held.limit(0)).count() == 0
 
 
+def best_edits(window, told):
+    """Least edits from ``window`` to a prefix of ``told``, the plain way."""
+    row = list(range(len(told) + 1))
+    for i, x in enumerate(window, 1):
+        new = [i]
+        for j, y in enumerate(told, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_banded_distances():
+    rng = np.random.default_rng(5)
+    for size, most in ((12, 1), (24, 2), (48, 4), (5, 0)):
+        one = rng.integers(1, 4, (60, size)).astype(np.uint64)
+        two = np.concatenate([one, rng.integers(1, 4, (60, most))], axis=1).astype(np.uint64)
+        for i in range(60):
+            for _ in range(rng.integers(0, most + 2)):
+                at = rng.integers(0, size)
+                kind = rng.integers(0, 3)
+                if kind == 0:
+                    two[i, at] = 9
+                elif kind == 1:
+                    two[i] = np.append(np.insert(two[i], at, 9), 0)[: size + most]
+                else:
+                    two[i] = np.append(np.delete(two[i], at), 9)
+        got = search.within(one, two, most)
+        assert got.tolist() == [min(best_edits(a.tolist(), b.tolist()), most + 1) for a, b in zip(one, two)]
+
+
+def changed(rng, words, edits):
+    """Words with so many of them replaced, left out, or others put in."""
+    out = list(words)
+    for _ in range(edits):
+        kind, at = rng.choice("sid"), rng.randrange(len(out))
+        if kind == "s":
+            out[at] = f"n{rng.randrange(10**9)}"
+        elif kind == "i":
+            out.insert(at, f"n{rng.randrange(10**9)}")
+        else:
+            del out[at]
+    return out
+
+
+def leaks_with_edits(docs, items, p, every=1):
+    """Every document and item whose id ``every`` divides, window by window."""
+    numbers = {}
+    number = lambda text: [numbers.setdefault(w, len(numbers) + 1) for w in spelt(text)]
+    wanted, holders = [], defaultdict(set)
+    for table, item, text in items:
+        w = number(text)
+        starts, _, sizes = search.item_starts(np.array([0, len(w)]), p)
+        for a, size in zip(starts.tolist(), sizes.tolist()):
+            holders[tuple(w[a : a + size])].add((table, item))
+            wanted.append((table, item, tuple(w[a : a + size])))
+    wanted = [x for x in wanted if len(holders[x[2]]) < p.shared and x[1] % every == 0]
+    out = {}
+    for doc, text in docs:
+        told = number(text)
+        index = defaultdict(list)
+        for j, x in enumerate(told):
+            index[x].append(j)
+        for table, item, window in wanted:
+            most, own = p.edits(len(window)), set()
+            for i, x in enumerate(window):
+                own |= {j - i + d for j in index.get(x, ()) for d in range(-most, most + 1)}
+            if len(index.keys() & set(window)) < len(set(window)) - most:
+                continue
+            for a in own:
+                if 0 <= a <= len(told) - len(window):
+                    d = best_edits(window, told[a : a + len(window) + most])
+                    if d <= most:
+                        out[doc, table, item] = min(d, out.get((doc, table, item), d))
+    return out
+
+
 def test_edited_passages_are_found(spark):
+    """Items of all sizes, each with as many changes, insertions and omissions as its windows may have, among other words."""
     rng = random.Random(9)
-    items, docs = [], []
-    for i in range(120):
-        w = [f"v{rng.randrange(3000)}" for _ in range(12)]
+    items, docs, p = [], [], search.Edited(block_keys=4000)
+    for i in range(240):
+        w = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([12, 15, 24, 30, 48, 100]))]
         items.append(("t", i, " ".join(w)))
-        edited_ = list(w)
-        edited_[rng.randrange(12)] = "changed"
-        docs.append((i, "before " + " ".join(edited_) + " after that"))
+        size = max(s for s in p.sizes if s <= len(w))
+        noise = [f"v{rng.randrange(3000)}" for _ in range(80)]
+        docs.append((i, " ".join([*noise[:40], *changed(rng, w, p.edits(size)), *noise[40:]])))
+    df, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_table string, item_id long, text string")
+    truth = leaks_with_edits(docs, items, p)
+    got = {(r["doc_id"], r["item_table"], r["item_id"]): r["edits"] for r in search.leaks(df, held, p).collect()}
+    assert got.keys() <= truth.keys() and all(truth[k] <= v for k, v in got.items())
+    assert len(truth) > 200 and len(got) >= 0.95 * len(truth)
+
+
+def test_p4_edited_against_brute_force(spark, folder):
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in queries._held_out(spark, folder).collect()]
+    truth = leaks_with_edits(docs, items, search.Edited(), every=20)
+    got = {(r["doc_id"], r["item_table"], r["item_id"]) for r in queries.p4_edited(spark, folder).collect() if r["item_id"] % 20 == 0}
+    assert got <= truth.keys() and len(got) >= 0.9 * len(truth)
+
+
+def test_edited_leaks_at_the_edges(spark):
+    w = [f"w{i}" for i in range(60)]
+    items = [("t", 1, " ".join(w[:20])), ("t", 2, " ".join(w[25:36])), ("t", None, " ".join(w)), ("t", 5, None), ("t", 6, "")] + [("s", i, "frame " * 12) for i in range(5)]
+    docs = [(1, " ".join(w[:12])), (2, " ".join(w[:11])), (3, " ".join(w[:6] + ["x"] + w[6:20])), (4, "frame " * 30), (5, None), (6, ""), (None, " ".join(w)), (7, "y " * 200_000 + " ".join(w[8:20])), (1, " ".join(w[:12]))]
     df, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_table string, item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, held, leakage.Leak(edits=1, sampled=3, repetitions=16)).collect()}
-    assert found <= {(i, i) for i in range(120)} and len(found) >= 0.95 * 120
+    got = [tuple(r) for r in search.leaks(df.withColumn("key", F.lit(1)).withColumn("size", F.lit(1)), held.withColumn("words", F.lit("x"))).collect()]
+    assert {x[0] for x in got} == {1, 3, 7} and len(got) == 3 and {x[:3]: x[3] for x in got}[1, "t", 1] == 0
+    assert search.leaks(df.limit(0), held).count() == 0 and search.leaks(df, held.limit(0)).count() == 0
