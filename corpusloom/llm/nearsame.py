@@ -1,14 +1,14 @@
 """Pairs of texts that have most of their words in common, over collections too large for pairwise comparison.
 
-1. Texts with the same words form one class: copies, however many, take part in the search once. The classes and their
-   words are shuffled once, by class, and kept on the executors' disks in that layout (a lost part is computed again).
+1. Texts with the same words form one class: copies, however many, take part in the search once a task.
 2. Each class gets a BagMinHash signature (:mod:`.bagminhash`), cut into bands. The weight of a word is the number of
    its occurrences where bags are compared, and the same for all words where sets are, so that the chance to meet depends
    on nothing but the common share of the words, whatever else the table holds.
 3. Classes meet where a band agrees. The self-join is a sort-merge join over one shuffle of 32-byte rows, so a hot band
    spills and is split by adaptive execution instead of filling a task, and a 128-bit sketch in its condition turns away
    chance meetings: of shorter texts by an exact bound, of longer ones by a wide margin.
-4. The classes that met are verified exactly on all their words. The words stay where they are; pairs of ids come to them.
+4. The classes that met are verified exactly on all their words. The words of all classes are shuffled once, by class, and
+   kept on the executors' disks in that layout (a lost part is computed again); pairs of ids come to them.
 
 The number of partitions grows with the input; no filter, list or table is collected or broadcast by this module.
 """
@@ -143,26 +143,31 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(held), np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def candidates(held: DataFrame, p: Near) -> DataFrame:
+def candidates(texts: DataFrame, p: Near) -> DataFrame:
     """Distinct (a, b), a < b: classes that agree in a band and whose sketches may be of near-same texts."""
 
     def sign(batches):
-        signer = Signer(p.rows * p.bands)
+        signer, seen = Signer(p.rows * p.bands), np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, offsets = _unpacked(batch.column("words"))
+            words, elements, offsets = _elements(batch.column("text").to_pylist(), p)
+            cls = set_ids(elements, offsets)
+            fresh, seen = _fresh(cls, seen)
+            if not len(fresh):
+                continue
+            elements, _ = _taken(elements, offsets, fresh)
+            words, offsets = _taken(words, offsets, fresh)
             if p.bag:
                 starts, _ = runs(words, offsets)
                 many = np.diff(np.append(starts, len(words)))
                 signature = signer.sign(weighted(words[starts], np.minimum(many, 1 << DEPTH)), np.searchsorted(starts, offsets))
-                words = occurrences(words, offsets)
             else:
                 signature = signer.sign(weighted(words), offsets)
-            keys, (near, more) = bands(signature, p.rows, p.bands), sketches(words, offsets, signature)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("cls").to_numpy(), p.bands)), pa.array(np.repeat(near, p.bands)), pa.array(np.repeat(more, p.bands))], ["band", "cls", "sketch", "more"])
+            keys, (near, more) = bands(signature, p.rows, p.bands), sketches(elements, offsets, signature)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls[fresh], p.bands)), pa.array(np.repeat(near, p.bands)), pa.array(np.repeat(more, p.bands))], ["band", "cls", "sketch", "more"])
 
-    rows = held.mapInArrow(sign, "band long, cls long, sketch long, more long")
+    rows = texts.select("text").mapInArrow(sign, "band long, cls long, sketch long, more long")
     x, y = rows.alias("x"), rows.alias("y")
     met = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") < F.col("y.cls")) & may_be_near((F.col("x.sketch"), F.col("x.more")), (F.col("y.sketch"), F.col("y.more")), p))
     return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
@@ -196,7 +201,7 @@ def links(texts: DataFrame, p: Near = Near()) -> DataFrame:
     held = classes(texts, p, number).persist(StorageLevel.DISK_ONLY)
     try:
         with shuffled_into(spark, max(number, partitions(texts, 4.0))):
-            pairs = cut(candidates(held, p))
+            pairs = cut(candidates(texts, p))
         release(spark)
         with shuffled_into(spark, number):
             with_one = pairs.join(held.withColumnRenamed("words", "one"), F.col("a") == F.col("cls")).drop("cls")
