@@ -19,6 +19,7 @@ from .words import mixed
 
 DEPTH = 6
 CACHE_WORDS = 40_000
+LONG_TEXT = 512
 
 
 def _uniform(seed: np.ndarray) -> np.ndarray:
@@ -86,13 +87,21 @@ class Signer:
             unique, inverse = np.unique(some, return_inverse=True)
             self._learn(unique)
             place = np.searchsorted(self.words, unique)[inverse]
-            for c in range(a, b, 256):  # few enough for the processor's cache, unless a text is long
-                d = min(c + 256, b)
-                own = offsets[c : d + 1] - offsets[a]
-                full = np.flatnonzero(np.diff(own))
-                if len(full):
-                    least = np.minimum.reduceat(self.points[place[own[0] : own[-1]]], own[:-1][full] - own[0], axis=0)
-                    out[c + full] = least.view(np.uint32)
+            lengths = np.diff(offsets[a : b + 1])
+            for i in np.flatnonzero(lengths > LONG_TEXT).tolist():
+                first = offsets[a + i] - offsets[a]
+                own = place[first : first + lengths[i]]
+                out[a + i] = np.min([self.points[own[j : j + 4096]].min(axis=0) for j in range(0, len(own), 4096)], axis=0).view(np.uint32)
+            order = np.argsort(-lengths, kind="stable")
+            order = order[(lengths[order] <= LONG_TEXT) & (lengths[order] > 0)]
+            for c in range(0, len(order), 512):  # word by word of so many texts at once, the longest first
+                some = order[c : c + 512]
+                first, much = offsets[a + some] - offsets[a], lengths[some]
+                least = self.points[place[first]]
+                for k in range(1, int(much[0])):
+                    n = int(np.searchsorted(-much, -k, "left"))  # texts with more than k words
+                    np.minimum(least[:n], self.points[place[first[:n] + k]], out=least[:n])
+                out[a + some] = least.view(np.uint32)
         return out
 
     @staticmethod

@@ -7,10 +7,11 @@
 3. Classes meet where a band agrees. The self-join is a sort-merge join over one shuffle of 32-byte rows, so a hot band
    spills and is split by adaptive execution instead of filling a task, and a 128-bit sketch in its condition turns away
    chance meetings: of shorter texts by an exact bound, of longer ones by a wide margin.
-4. The classes that met are verified exactly on all their words. The words of all classes are shuffled once, by class, and
-   kept on the executors' disks in that layout (a lost part is computed again); pairs of ids come to them.
+4. The classes that met are verified exactly on all their words, for which the texts are read again. The ids of these
+   classes pick them by a semi-join: Spark broadcasts the ids where they are few (``autoBroadcastJoinThreshold``), else
+   the words of all classes are shuffled once, after the shuffle of the bands is gone.
 
-The number of partitions grows with the input; no filter, list or table is collected or broadcast by this module.
+The number of partitions grows with the input; nothing is collected.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +118,8 @@ def members(texts: DataFrame, p: Near = Near(), ordered: bool = False) -> DataFr
     return texts.mapInArrow(run, f"{schema}, cls long{', seq long' if ordered else ''}")
 
 
-def classes(texts: DataFrame, p: Near, number: int) -> DataFrame:
-    """(cls, words): one row a class, laid out by class in ``number`` partitions. A task sends a class on once."""
+def classes(texts: DataFrame, p: Near) -> DataFrame:
+    """(cls, words): the words of the classes; a task sends a class on once."""
 
     def run(batches):
         seen = np.zeros(0, np.int64)
@@ -132,8 +132,7 @@ def classes(texts: DataFrame, p: Near, number: int) -> DataFrame:
                 held = pa.Array.from_buffers(pa.large_binary(), len(fresh), [None, pa.py_buffer(bounds * 8), pa.py_buffer(own)])
                 yield pa.RecordBatch.from_arrays([pa.array(cls[fresh]), held.cast(pa.binary())], ["cls", "words"])
 
-    rows = texts.select("text").mapInArrow(run, "cls long, words binary").repartition(number, "cls")
-    return rows.groupBy("cls").agg(F.first("words").alias("words"))
+    return texts.select("text").mapInArrow(run, "cls long, words binary")
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,19 +196,16 @@ def links(texts: DataFrame, p: Near = Near()) -> DataFrame:
             near = common * p.threshold[1] >= (sizes - common) * p.threshold[0]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(sizes - common)], ["a", "b", "common", "either"]).filter(pa.array(near))
 
-    number = partitions(texts, 2.0)
-    held = classes(texts, p, number).persist(StorageLevel.DISK_ONLY)
-    try:
-        with shuffled_into(spark, max(number, partitions(texts, 4.0))):
-            pairs = cut(candidates(texts, p))
+    with shuffled_into(spark, partitions(texts, 4.0)):
+        pairs = cut(candidates(texts, p))
         release(spark)
-        with shuffled_into(spark, number):
-            with_one = pairs.join(held.withColumnRenamed("words", "one"), F.col("a") == F.col("cls")).drop("cls")
-            with_two = with_one.join(held.withColumnRenamed("words", "two"), F.col("b") == F.col("cls")).drop("cls")
-            found = cut(with_two.mapInArrow(verify, "a long, b long, common long, either long"))
-    finally:
-        held.unpersist()
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        held = classes(texts, p).join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))
+        with_one = pairs.join(held.withColumnRenamed("words", "one"), F.col("a") == F.col("cls")).drop("cls")
+        with_two = with_one.join(held.withColumnRenamed("words", "two"), F.col("b") == F.col("cls")).drop("cls")
+        found = cut(with_two.mapInArrow(verify, "a long, b long, common long, either long"))
     drop(pairs)
+    drop(wanted)
     return found
 
 
@@ -219,19 +215,15 @@ def by_force(texts: DataFrame, chosen: DataFrame, p: Near = Near(), block_words:
 
     Chosen classes are broadcast in blocks of about ``block_words`` words; each block is one pass over the classes,
     which counts common words in an index of the block's words. The result is a cut table."""
-    spark, number = texts.sparkSession, partitions(texts, 2.0)
-    held = classes(texts, p, number).persist(StorageLevel.DISK_ONLY)
-    schema, out = "a long, b long, common long, either long", None
-    try:
-        picked = cut(held.join(chosen.select("cls").distinct(), "cls", "left_semi"))
-        blocks = -(-(picked.agg(F.sum(F.length("words"))).first()[0] or 0) // (8 * block_words))
-        for i in range(blocks):
-            block = picked.where(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == i).toArrow().combine_chunks()
-            block = spark.sparkContext.broadcast((block.column("cls").to_numpy(), *_unpacked(block.column("words"))))
-            some = cut(held.mapInArrow(partial(_compared, block=block, p=p), schema))
-            out = some if out is None else out.unionAll(some)
-    finally:
-        held.unpersist()
+    spark, schema, out = texts.sparkSession, "a long, b long, common long, either long", None
+    held = cut(classes(texts, p).groupBy("cls").agg(F.first("words").alias("words")))
+    picked = cut(held.join(chosen.select("cls").distinct(), "cls", "left_semi"))
+    blocks = -(-(picked.agg(F.sum(F.length("words"))).first()[0] or 0) // (8 * block_words))
+    for i in range(blocks):
+        block = picked.where(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        block = spark.sparkContext.broadcast((block.column("cls").to_numpy(), *_unpacked(block.column("words"))))
+        some = cut(held.mapInArrow(partial(_compared, block=block, p=p), schema))
+        out = some if out is None else out.unionAll(some)
     return spark.createDataFrame([], schema) if out is None else out
 
 
