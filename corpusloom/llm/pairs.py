@@ -1,7 +1,10 @@
 """Problem 3: prompt and response pairs whose response is no proper answer.
 
 A pair gets at most one defect, tried in this order: ``empty``, ``copied``, ``refusal``, ``other_language``,
-``truncated``. All rules read whole texts, row by row, in Arrow batches; nothing is shuffled.
+``truncated``. The rules read whole texts, row by row, in Arrow batches, without a shuffle, but for one question: whether
+a response that stops without an end mark is finished. That hangs on how the texts of the table use its last word
+(:func:`endings`): a word that they go on after is no end, and a word they never have, but have the beginning of many
+others by, is a part of one. Counts of all words of all responses are aggregated and joined with those few responses.
 """
 
 from __future__ import annotations
@@ -11,10 +14,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from .words import mixed
+
 INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»“)\]]*\s+|\s*;\s+|\n+")
@@ -27,6 +34,13 @@ PLACEHOLDERS = {
     "keine antwort", "leer", "fehlt", "k a", "folgt", "sin respuesta", "vacio", "ninguno", "ninguna", "pendiente", "sans reponse", "pas de reponse", "aucune reponse", "vide", "neant", "a completer", "nichts", "nada", "rien", "void", "eof", "end", "error", "false", "no content", "content missing",
 }
 
+# Words that placeholders are made of, and those of them that tell one.
+SLOT = set(
+    "your my the a an this that here text answer response reply output content value name title description insert enter type write put add fill in out goes comes go to be is was with for of please placeholder blank empty "
+    "intentionally deliberately left page section field paragraph sample example dummy missing omitted removed redacted deleted pending todo tbd later added provided completed done needed".split()
+)
+SLOT_TELLS = set("here blank placeholder insert enter fill missing omitted removed redacted deleted pending todo tbd dummy".split())
+
 # Frequent words that hardly occur in the other languages.
 FUNCTION_WORDS = {
     "en": "the and of is are was were that this with for from not you it be which on in at as by than then when what why how has have had its their every each our only can would should if after before without there nobody most today please does do an or but we they one other",
@@ -34,6 +48,22 @@ FUNCTION_WORDS = {
     "fr": "le la les et est sont était que qui avec pour de du des pas vous il elle un une au aux en dans sur par plus quand quoi pourquoi comment a ont après avant sans encore personne on ne se ce cette ces ou mais selon dès aujourd hui même leur sa son être été reste faut",
     "es": "el la los las y es son era que con para de del no usted un una al en por más cuando qué cómo ha han después antes sin todavía nadie hoy se lo su sus o pero según cuanto hay también esta este entre sobre como solo está ser fue sigue siendo",
 }
+# The same of further languages, in which an answer is never due unless it is asked for.
+FURTHER_WORDS = {
+    "pt": "o os as e é são era foi que com para de do da dos das não uma um em no na nos nas por mais quando como tem têm depois antes sem ainda ninguém hoje se sua seu ou mas muito também já está este esta ao pelo pela isso você",
+    "it": "il lo gli i le e è sono era che con per di del della dei delle non un uno una in nel nella al alla da dal dalla più quando come perché ha hanno dopo prima senza ancora nessuno oggi si suo sua o ma molto anche già questo questa ci sul",
+    "nl": "de het een en is zijn was waren dat die met voor van niet je u ze er in op aan om te als hoe wat waarom heeft hebben naar na zonder nog niemand vandaag wordt werd worden zich ook zo maar of bij over meer wel dan door uit deze dit",
+    "pl": "i w z na do jest są był była że nie się to co jak o od po za dla przez ale lub czy oraz gdy kiedy dlaczego ma mają bez jeszcze nikt dziś już bardzo także ten ta te tego jego jej ich tylko może przed pod",
+    "sv": "och i att det som en ett på är av för med den till inte har de om var han hon men sig från vi så kan när nu vid också efter eller hade upp utan mycket sedan skulle detta mot bara",
+    "da": "og i at det som en et på er af for med den til ikke har de om var han hun men sig fra vi så kan når nu ved også efter eller havde op uden meget siden skulle dette mod kun jeg hvad",
+    "cs": "a v na je se že s z do to o k i jako za by ale po pro nebo jsou byl byla není od jeho jen když co tak až také už která který které při ve než podle",
+    "ro": "și în de la cu pe nu este sunt că o un pentru din care mai se au a fost dar sau după când ce cum fără dacă această acest foarte prin până între lui",
+    "hu": "a az és hogy nem is egy ez van volt meg de csak már mint ha vagy még azt ezt aki ami amely után előtt nélkül nagyon mert lehet kell",
+    "fi": "ja on ei se että oli mutta kun myös hän ovat joka niin kuin tai jos vain sen ole hänen tämä jo mukaan sitä ne kaikki vielä nyt sekä",
+    "tr": "ve bir bu da de için ile çok en ama daha gibi olarak var olan ne kadar sonra değil her ya önce mi diye ise o şu hiç yok",
+}
+FUNCTION_SETS = {language: set(words.split()) for language, words in FUNCTION_WORDS.items()}
+FURTHER = {language: set(words.split()) for language, words in FURTHER_WORDS.items()}
 LANGUAGE_OF: dict[str, dict[str, float]] = {}
 for _language, _words in FUNCTION_WORDS.items():
     for _word in _words.split():
@@ -64,24 +94,34 @@ SHORT_ANSWER = re.compile(
 )
 ALLOWS_NONE = re.compile(r"(?i)\b(?:answer|reply|respond|write|say|return|antworte|réponds|responde)\b[^.?!]{0,40}\b(none|null|n/?a|nothing|unknown|nichts|keine?r?|rien|aucune?|nada|ningun[oa]|empty|blank)\b")
 
+ABLE = r"(?:willing|able|allowed|permitted|prepared|authori[sz]ed|comfortable|in a position|equipped|supposed|going|free|meant|designed)"
+HELP = r"(?:help(?:ing)?|assist(?:ing)?|answer(?:s|ing)?|respond(?:ing)?|reply(?:ing)?|comment(?:ing)?|discuss(?:ing)?|provid(?:e|ing)|explain(?:ing)?|cover|talk|share|write|speak|comply|fulfil|do (?:that|this|so)|say|advise|advice|offer|support|engage|continue|get into|go into|go there|opinions?|address|touch|disclose|reveal|give (?:you |out |any |an? |the |that |this |my )*(?:answers?|advice|opinions?|information|details|response|guidance|help))"
 REFUSAL = [
     re.compile(p)
     for p in (
-        r"\bi(?:'m| am|'d| would| must| have to| need to|'ll| will)?\b.{0,40}\b(?:cannot|can ?not|can't|cant|could not|couldn't|won't|will not|unable to|not able to|not allowed to|not permitted to|not authori[sz]ed to|rather not|prefer not to|refuse to|decline to|not going to)\b.{0,40}\b(?:help|assist|answer|respond|comment|discuss|provide|explain|cover|talk|share|give|write|speak|comply|fulfil|do that|do this|say|advise|offer|support|engage|continue)",
-        r"\bi\b.{0,30}\b(?:decline|refuse|respectfully pass|pass on this|have to pass|must pass)\b",
+        rf"\b(?:i|we)(?:'m|'re| am| are|'d| would| must| have to| need to|'ll| will)?\b[^.:;!?]{{0,40}}\b(?:cannot|can ?not|can't|cant|could not|couldn't|won't|will not|unable to|not able to|not allowed to|not permitted to|not authori[sz]ed to|rather not|prefer not to|refuse to|decline to|not going to)\b[^.:;!?]{{0,40}}\b{HELP}\b",
+        r"\bi\b[^.:;!?]{0,30}\b(?:decline|refuse|respectfully pass|pass on this|have to pass|must pass)\b",
+        rf"\b(?:not|n't|never)\b(?: \w+){{0,4}} (?:that |which )?(?:i|we)(?:'m| am|'re| are) {ABLE}\b|\b(?:i'm|i am|we're|we are) (?:simply |just |afraid |sorry )*not (?:really |currently )?{ABLE}\b[^.:;!?]{{0,40}}\b{HELP}\b",
+        rf"\b(?:this|the|your|our) (?:assistant|model|system|bot|chatbot|service|tool|ai|team)\b[^.:;!?]{{0,20}}\b(?:does not|doesn't|do not|don't|cannot|can't|can not|will not|won't|is not|isn't|is unable|declines|refuses)\b[^.:;!?]{{0,40}}\b{HELP}\b",
         r"\bi\b.{0,12}\b(?:don't|do not)\b.{0,12}\b(?:feel comfortable|have enough information|have the information|have access)\b",
         r"\b(?:not|n't) (?:be )?(?:appropriate|possible|right) for me\b|\bnot a (?:topic|subject|question|matter) (?:that )?i can\b|\bnot something (?:that )?i can\b",
         r"\bsomething (?:that )?i (?:have|need|must|am obliged)\b.{0,8}\b(?:decline|refuse)\b|\bno can do\b",
         r"\b(?:falls?|is|lies) (?:outside|beyond)(?: of)? (?:what|the scope|my)\b",
         r"\b(?:against|violates?|contrary to) (?:my|our) (?:instructions|guidelines|polic(?:y|ies)|rules|principles)\b",
         r"\b(?:guidelines|polic(?:y|ies)|instructions|rules|programming)\b.{0,20}\b(?:prevent|forbid|prohibit|do not allow|don't allow|do not permit|don't permit|stop) (?:me|us)\b",
-        r"\bas an? (?:ai|assistant|language model|artificial)\b.{0,60}\b(?:not|n't|cannot|unable)\b",
+        r"\bas an? (?:ai|assistant|language model|artificial)\b[^.;!?]{0,60}\b(?:not|n't|cannot|unable)\b",
         r"\b(?:this|that|your) (?:request|question)\b.{0,30}\b(?:cannot|can't|can not|not) be (?:answered|fulfilled|processed|discussed)\b|\bi cant answer\b|\bno comment\b",
         r"\b(?:kann|darf|möchte|will|muss|werde|könnte) ich\b.{0,60}\b(?:nicht|keine?n?|ablehnen|verweigern|leider)\b|\bich (?:kann|darf|möchte|will|werde)\b.{0,60}\b(?:nicht|keine?n?|lieber nicht)\b.{0,40}\b(?:helfen|beantworten|antworten|sagen|geben|äußern|sprechen|schreiben|eingehen|erklären|auskunft)|\b(?:muss|möchte) ich\b.{0,40}\bablehnen\b|\bmir (?:ist es )?nicht (?:erlaubt|gestattet|möglich)\b|\bes ist mir nicht (?:erlaubt|gestattet|möglich)\b|\bist es mir nicht (?:erlaubt|gestattet|möglich)\b|\bich\b.{0,30}\b(?:ablehnen|verweigere|lehne)\b",
         r"\bje (?:ne )?(?:peux|suis|dois|préfère|préférerais|regrette|refuse|souhaite|voudrais)\b.{0,60}\b(?:pas|refuser|décliner|refuse)\b.{0,60}|\bje préfère ne pas\b|\bje dois (?:refuser|décliner)\b|\bil ne m'est pas (?:permis|possible)\b|\bje ne (?:peux|suis) pas\b",
         r"\bno (?:puedo|podría|estoy (?:autorizad|en condiciones|capacitad)|me está permitido|me es posible|me permiten)\b|\bprefiero no\b|\bpreferiría no\b|\b(?:debo|tengo que|me veo obligad[oa] a) (?:rechazar|declinar|negarme)\b",
+        r"\bnon (?:posso|potrei|sono (?:in grado|autorizzat[oa])|mi è (?:permesso|consentito|possibile))\b[^.;!?]{0,40}\b(?:aiutar\w*|risponder\w*|rispondere|fornir\w*|dar\w*|parlar\w*|dire|discuter\w*|commentar\w*|farlo)\b|\bpreferisco non\b|\b(?:devo|sono costrett[oa] a) (?:rifiutare|declinare)\b|\bmi rifiuto\b",
+        r"\bnão (?:posso|poderia|consigo|estou (?:autorizad[oa]|em condições)|me é permitido)\b[^.;!?]{0,40}\b(?:ajudar|responder|fornecer|dar|falar|dizer|discutir|comentar)\b|\bprefiro não\b|\b(?:devo|tenho de|tenho que) (?:recusar|declinar)\b|\brecuso-me\b",
+        r"\b(?:ik (?:kan|mag|wil|zal)|(?:kan|mag|wil|zal) ik)\b[^.;!?]{0,40}\b(?:niet|geen|liever niet)\b[^.;!?]{0,40}\b(?:helpen|antwoord\w*|beantwoorden|geven|zeggen|bespreken|ingaan)\b|\bik (?:weiger|moet weigeren)\b",
+        r"\bnie (?:mogę|jestem w stanie|wolno mi)\b[^.;!?]{0,40}\b(?:pomóc|odpowiedzieć|udzielić|powiedzieć|rozmawiać|komentować)\b|\bodmawiam\b|\bwolę nie\b",
     )
 ]
+# A sentence without any of these declines nothing.
+DECLINES = re.compile(r"not\b|n't\b|\bno\b|\bcant\b|declin|refus|\bpass\b|never|outside|beyond|against|violat|contrary|prevent|forbid|prohibit|stop|unable|nicht|kein|ablehn|verweiger|leider|lehne|\bpas\b|declin|déclin|prefier|prefer|rechaz|\bnon\b|rifiut|não|recus|niet|geen|weiger|\bnie\b|odmawiam|wolę")
 FILLER = re.compile(
     r"\b(?:sorry|apolog(?:y|ies|ize|ise)|thank(?:s| you)|hello|hi|hmm+|interesting question|good question|great question|unfortunately|let's talk|talk about something else|another topic|something else|please consult|please ask|please contact|someone who knows|professional|expert|anything else|happy to help|sure,? gladly|of course|certainly|hope you understand|understand"
     r"|tut mir leid|leider|danke|hallo|bitte wenden|etwas anderes|gute frage|verständnis|désolé\w*|malheureusement|merci|bonjour|autre chose|autre sujet|consult\w*|compréhension|lo siento|lamento|lamentablemente|gracias|hola|otra cosa|otro tema|por desgracia|desafortunadamente|buena pregunta|bonne question|temo|crains|perdón|disculp\w*|gerne|con gusto|claro|bien sûr|volontiers)\b"
@@ -132,8 +172,8 @@ def is_empty(response: str | None, prompt: str) -> bool:
         if "<" in response and re.search(r"<\s*[a-z]+\s*>", response.strip(), re.I) and not text.strip():
             return True
         return not re.search(r"\w", text)
-    if len(words) > 5:
-        return False
+    if len(words) > 1 and SLOT.issuperset(words) and not SLOT_TELLS.isdisjoint(words):
+        return True
     said = " ".join(words)
     if said in PLACEHOLDERS:
         allowed = ALLOWS_NONE.search(prompt)
@@ -141,43 +181,75 @@ def is_empty(response: str | None, prompt: str) -> bool:
     return False
 
 
-def tiles(left: list[str], right: list[str], least: int) -> tuple[list[bool], list[bool]]:
-    """Greedy string tiling: marks of the words in common runs of at least ``least`` words, longest runs first, each word once."""
-    one, two = [False] * len(left), [False] * len(right)
+def _window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every window of ``length`` codes, in a logarithmic number of steps."""
+    out, have = codes, 1
+    for bit in bin(length)[3:]:  # doubled, and one more where the bit is set
+        out, have = mixed(out[: len(out) - have] ^ mixed(out[have:])), 2 * have
+        if bit == "1":
+            out, have = mixed(out[: len(out) - 1] ^ mixed(codes[have : have + len(out) - 1] + np.uint64(1))), have + 1
+    return out
+
+
+def tiles(left: list[str], right: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy string tiling: marks of the words in common runs of at least ``least`` words, longer runs first, each word once.
+
+    Windows of halving length are looked up by hash, as in running Karp-Rabin matching, and each match is followed to its
+    end; marked runs are no shorter than the window, so a window is free if its ends are. The number of steps grows with
+    the words times the logarithm of their number, however often they repeat."""
+    one, two = np.zeros(len(left), bool), np.zeros(len(right), bool)
     if len(left) < least or len(right) < least:
         return one, two
-    places: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(right) - least + 1):
-        places.setdefault(tuple(right[j : j + least]), []).append(j)
-    starts = [(i, js) for i in range(len(left) - least + 1) if (js := places.get(tuple(left[i : i + least])))]
-    if not starts:
-        return one, two
-    runs, reached = [], {}
-    for i, js in starts:
-        for j in js:
-            if reached.get(i - j, -1) > i:
+    numbers: dict[str, int] = {}
+    a, b = (np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64) for words in (left, right))
+    codes = mixed(a.astype(np.uint64)), mixed(b.astype(np.uint64))
+    lengths = [least]
+    while lengths[-1] * 2 <= min(len(a), len(b)):
+        lengths.append(lengths[-1] * 2)
+    for n in reversed(lengths):
+        free = [np.flatnonzero(~(marks[: len(marks) - n + 1] | marks[n - 1 :])) for marks in (one, two)]
+        if not len(free[0]) or not len(free[1]):
+            continue
+        h, g = _window_hashes(codes[0], n)[free[0]], _window_hashes(codes[1], n)[free[1]]
+        order = np.argsort(g, kind="stable")
+        g, places = g[order], free[1][order]
+        at = np.searchsorted(g, h, "left")
+        known = np.flatnonzero(g[np.minimum(at, len(g) - 1)] == h)
+        if not len(known):
+            continue
+        ends = np.searchsorted(g, h[known], "right").tolist()
+        taken: dict[int, int] = {}  # places of a hash that are used up
+        done = -1
+        for i, start, end in zip(free[0][known].tolist(), at[known].tolist(), ends):
+            if i < done or one[i] or one[i + n - 1]:
                 continue
-            n = least
-            while i + n < len(left) and j + n < len(right) and left[i + n] == right[j + n]:
-                n += 1
-            reached[i - j] = i + n - least + 1
-            runs.append((n, i, j))
-    runs.sort(key=lambda r: (-r[0], r[1], r[2]))
-    for n, i, j in runs:
-        k = 0
-        while k < n:  # what earlier tiles left of the run
-            while k < n and (one[i + k] or two[j + k]):
+            k = taken.get(start, start)
+            while k < end and (two[places[k]] or two[places[k] + n - 1]):
                 k += 1
-            m = k
-            while m < n and not one[i + m] and not two[j + m]:
-                m += 1
-            if m - k >= least:
-                for x in range(k, m):
-                    one[i + x] = two[j + x] = True
-            k = m
+            taken[start] = k
+            if k == end:
+                continue
+            j = int(places[k])
+            most = min(len(a) - i, len(b) - j)
+            differ = np.flatnonzero((a[i : i + most] != b[j : j + most]) | one[i : i + most] | two[j : j + most])
+            much = int(differ[0]) if len(differ) else most
+            if much >= n:
+                one[i : i + much] = two[j : j + much] = True
+                done = i + much
     return one, two
 
 
+def _may_cover(left: list[str], right: list[str], least: int, cover: float) -> bool:
+    """Whether enough words of ``left`` stand in runs of ``least`` words that ``right`` has, too; tiles can't cover more."""
+    held = set(zip(*(right[k:] for k in range(least))))
+    until = covered = 0
+    for i, run in enumerate(zip(*(left[k:] for k in range(least)))):
+        if run in held:
+            covered += i + least - max(i, until)
+            until = i + least
+    return covered >= cover * len(left)
+
+
 def is_copied(response: str, instruction: str, least: int = 3, cover: float = 0.75) -> bool:
     """Tiles cover the response, and a whole sentence of the prompt; no sentence of the response is its own."""
     body = instruction
@@ -197,41 +269,46 @@ def is_copied(response: str, instruction: str, least: int = 3, cover: float = 0.
             return False
     answer = plain(response)
     said, asked_words = folded(answer), folded(plain(body))
-    if len(said) < 4:
+    if len(said) < 4:  # too few to be a copy by chance or not, unless they are all there is
+        return bool(said) and said == asked_words
+    if not _may_cover(said, asked_words * 2, least, cover):
         return False
     one, _ = tiles(said, asked_words * 2, least)  # twice, for a response that gives it back twice
-    if sum(one) < cover * len(said):
+    if one.sum() < cover * len(said):
         return False
     at = 0
     for sentence in SENTENCE.split(answer):
         n = len(folded(sentence))
-        if n >= 4 and sum(one[at : at + n]) < 0.34 * n:
+        if n >= 4 and one[at : at + n].sum() < 0.34 * n:
             return False
         at += n
     for sentence in [body, *SENTENCE.split(plain(body)), *CONTEXT.sub("", body).split("\x00"), *(x for x in re.split(r"[:\"“”„«»]", body))]:
         words = folded(plain(sentence))
         if len(words) >= 4:
             _, two = tiles(said, words, least)
-            if sum(two) >= cover * len(words) or (len(words) >= 6 and said == words[: len(said)] and len(said) >= 0.6 * len(words)):
+            if two.sum() >= cover * len(words) or (len(words) >= 6 and said == words[: len(said)] and len(said) >= 0.6 * len(words)):
                 return True
     return False
 
 
 def is_refusal(response: str) -> bool:
-    """It declines, and no sentence says anything else."""
+    """It declines, and no sentence says anything else: what isn't a refusal has words of courtesy and few others, or
+    hardly any word."""
     text = plain(response).replace("’", "'").replace("‘", "'").lower().strip()
+    if not DECLINES.search(text):
+        return False
     declined = False
     for sentence in SENTENCE.split(text):
         words = WORD.findall(sentence)
         if not words:
             continue
         quoted = QUOTED.sub(" ", sentence)
-        if any(p.search(quoted) for p in REFUSAL):
+        if DECLINES.search(quoted) and any(p.search(quoted) for p in REFUSAL):
             declined = True
-            if len(words) > 45:
+        elif len(words) > 3:
+            rest = len(WORD.findall(FILLER.sub(" ", quoted)))
+            if rest == len(WORD.findall(quoted)) or rest > 14:
                 return False
-        elif not FILLER.search(quoted) and len(words) > 3 or len(words) > 16:
-            return False
     return declined
 
 
@@ -282,18 +359,43 @@ def is_other_language(response: str, instruction: str) -> bool:
     if wanted is None or n < 2 and len(WORD.findall(first)) > 3 and sure < 0.6:
         wanted, sure, n = language(head)
     spoken, part, m = language(QUOTED.sub(" ", plain(response)))
-    return wanted is not None and spoken is not None and spoken != wanted and m >= 3 and part >= 0.55 and sure >= 0.4
+    if wanted is None or sure < 0.4:
+        return False
+    if spoken is not None and spoken != wanted and m >= 3 and part >= 0.55:
+        return True
+    words = WORD.findall(QUOTED.sub(" ", plain(response)).lower())
+    if len(words) < 4 or m > 0.3 * len(words) and spoken == wanted:
+        return False
+    own = FUNCTION_SETS[wanted]
+    others = max(sum(w in known and w not in own for w in words) for known in FURTHER.values())
+    return others >= 3 and others >= 0.15 * len(words) and others > 2 * sum(w in own and not any(w in known for known in FURTHER.values()) for w in words)
 
 
 OPENERS, CLOSERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}, {")", "]", "}", "”", "»"}
 VOID_TAGS = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "col"}
+INTERVAL = re.compile(r"(?<![\w)\]])[\[(]\s*[-+]?[\w.∞]+\s*[,;]\s*[-+]?[\w.∞]+\s*[\])]")
+INCHES = re.compile(r"(?<=\d)\"(?=[\s,.;:!?)x×-]|$)")
 TOKEN = re.compile(r"```|`|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|[()\[\]{}“”«»„\"]|^\s*(?:\(?\d{1,3}[.)]|[a-z]\))\s", re.M)
 
 
+def _without_inches(text: str) -> str:
+    """Without marks after digits that no open quotation waits for."""
+
+    def kept(m: re.Match) -> str:
+        return '"' if text.count('"', 0, m.start()) % 2 else ""
+
+    return INCHES.sub(kept, text)
+
+
 def unfinished(text: str) -> list[str]:
     """A pushdown parse of fences, brackets, quotations, list markers and tags: what is still open at the end.
 
-    Strings in code hide their brackets; closers without an opener (smileys, list markers) are let pass."""
+    Strings in code hide their brackets; closers without an opener (smileys, list markers), half-open intervals and inch
+    marks are let pass."""
+    if "," in text and "```" not in text:
+        text = INTERVAL.sub(" ", text)
+    if '"' in text:
+        text = _without_inches(text)
     stack: list[str] = []
     for m in TOKEN.finditer(text):
         token = m[0]
@@ -342,73 +444,96 @@ def unfinished(text: str) -> list[str]:
     return stack
 
 
+LONGEST_WORD = 64
 ENDED = re.compile(r"(?:[.!?…。！？]|\.\.\.)[\"'”»“’)\]*_`~\s]*(?:\([^()]{1,60}\)\s*)?$|[`\"”»]\s*$|[\U0001F300-\U0001FAFF☀-➿️]\s*$|```\s*$|</[A-Za-z]+>\s*$|[)\]}]\s*$")
-CONCLUSION = re.compile(r"(?i)^\s*(?:so|thus|therefore|hence|also|donc|ainsi|así que)\b")
 MARKER = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)]|[a-z]\))\s*$")
 ITEMS = re.compile(r"(?m)^\s*(?:[-*•–]|\(?\d{1,3}[.)])\s+\S")
 ASKED_ITEMS = re.compile(r"(?i)\b(?:list|give|name|nenne|liste|cite|enumera|énumère)\b\s+(\d{1,2})\b")
 
 
-def is_truncated(response: str, instruction: str) -> bool:
+def truncation(response: str, instruction: str) -> tuple[bool, str | None]:
+    """Whether the response is cut off; where that hangs on its last words alone, no, and the last two in lower case."""
     text = INVISIBLE.sub("", html.unescape(response)).rstrip()
     if OPTIONS.search(instruction):
         given = folded(plain(text))
         options = [folded(re.sub(r"^\s*[-*•]\s*", "", x)) for x in OPTIONS.split(instruction)[-1].split("\n")]
         if given in options:
-            return False
+            return False, None
         joined = "".join(given)
-        return any(len(x) and len(joined) < len("".join(x)) and "".join(x).startswith(joined) for x in options) or bool(unfinished(text))
+        return any(len(x) and len(joined) < len("".join(x)) and "".join(x).startswith(joined) for x in options) or bool(unfinished(text)), None
     if unfinished(text):
-        return True
+        return True, None
     lines = text.split("\n")
     if len(lines) > 1 and MARKER.match(lines[-1]):
-        return True
+        return True, None
     if m := ASKED_ITEMS.search(instruction):
         n = len(ITEMS.findall(text))
         if 0 < n < int(m[1]) and (n > 1 or len(WORD.findall(text)) < 40):
-            return True
+            return True, None
     if re.search(r"[,;:\-–—/&+=(]$", text) and not text.endswith("--"):
-        return True
+        return True, None
     if ENDED.search(text):
-        return False
+        return False, None
     words = WORD.findall(plain(text))
     if not words:
-        return False
-    last = words[-1].lower()
-    asked = CONTEXT.sub("", instruction)
-    short = bool(SHORT_ANSWER.search(asked.strip()))
-    pieces = [s for s in re.split(r"(?<=[.!?…])\s+|\n+", plain(text).strip()) if s]
-    fragment = pieces[-1]
-    if last in DANGLING and not (short and len(words) <= 2):
+        return False, None
+    if SHORT_ANSWER.search(CONTEXT.sub("", instruction).strip()) and len(words) <= (2 if words[-1].lower() in DANGLING else 8):
+        return False, None
+    return False, " ".join(words[-2:]).lower()
+
+
+def is_cut(word: str, both_end: int, both_else: int, ends: int, others: int, longer: int, enough: int = 10, share: float = 0.05) -> bool:
+    """Whether a text that stops at ``word`` is cut off: the table has it at the end of ``ends`` sentences, in ``others``
+    other places, after the same word before it in ``both_end`` and ``both_else`` of these, and ``longer`` words that
+    begin with it. What the table hardly has is judged beforehand: function words end nothing, other words may."""
+    if both_end + both_else >= enough:
+        return both_end < share * (both_end + both_else)
+    if ends + others >= enough:
+        return ends < share * (ends + others)
+    if ends + others == 0 and longer >= 2 * enough and not word.isdigit():
         return True
-    if short and len(words) <= 8:
-        return False
-    if CONCLUSION.match(fragment) and len(WORD.findall(fragment)) >= 4:
-        return False
-    if "```" in text:
-        return False
-    if not re.search(r"[.!?…](?:\s|$)", text):  # no sentence has a mark: a writer who sets none, if there are several
-        capitals = len(re.findall(r"(?<=[a-zà-ÿ0-9] )[A-ZÀ-Ý][a-zà-ÿ]+", text))
-        if capitals >= 1 and len(words) >= 14 and len(words[-1]) > 2 and instruction[:1].isupper() and language(text)[0] == "en":
-            return False
-    return True
+    return ends == 0 and word in DANGLING
 
 
 def defect_of(prompt: str | None, response: str | None) -> str | None:
-    """The defect of one pair, or null for a sound one. A null prompt is an empty one."""
+    """The defect of one pair by itself, or null for a sound one. A null prompt is an empty one."""
+    defect, word = _defect_or_word(prompt, response)
+    return "truncated" if word is not None and is_cut(word.split()[-1], 0, 0, 0, 0, 0) else defect
+
+
+def _defect_or_word(prompt: str | None, response: str | None) -> tuple[str | None, str | None]:
     prompt = prompt or ""
     if is_empty(response, prompt):
-        return "empty"
+        return "empty", None
     instruction = instruction_of(prompt)
     if instruction and is_copied(response, instruction):
-        return "copied"
+        return "copied", None
     if is_refusal(response):
-        return "refusal"
+        return "refusal", None
     if instruction and is_other_language(response, instruction):
-        return "other_language"
-    if is_truncated(response, instruction):
-        return "truncated"
-    return None
+        return "other_language", None
+    cut_off, word = truncation(response, instruction)
+    return ("truncated" if cut_off else None), word
+
+
+def endings(responses: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(word, before, both_end, both_else, ends, others, longer) of each of the ``wanted`` (word, before: the word before
+    it, or null): how often it ends a sentence that has an end mark and how often it stands elsewhere in column
+    ``response``, after ``before`` and at all, last words of texts left out, and how many longer words begin with it.
+
+    All words of all rows are counted, in the engine's own functions and with partial sums before the shuffle. An unbroken
+    run of more than ``LONGEST_WORD`` letters is no word that another could be the beginning of."""
+    # marks stand for places that would take the whole array into every row: the end of a text, and of a sentence's words
+    parts = F.explode(F.split(F.concat(F.lower("response"), F.lit("\u0001")), r"(?<=[.!?…])[\"”»)\]]*\s+|\n+")).alias("part")
+    rows = responses.select(parts).select(F.regexp_extract_all("part", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("words"), F.endswith("part", F.lit("\u0001")).alias("last"), F.col("part").rlike(r"[.!?…][\"”»)\]*_`]*\s*\x01?$").alias("ended"))
+    shifted = F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit("")), F.col("words")).alias("before"), F.concat(F.slice("words", 2, 1 << 30), F.array(F.lit(""))).alias("after"))
+    rows = rows.where(F.size("words") > 0).select(F.explode(shifted).alias("x"), "last", "ended").select("x.word", "x.before", F.col("x.after") == "", "last", "ended").toDF("word", "before", "final", "last", "ended")
+    rows = rows.where("word is not null and (not final or ended or not last)").select("word", F.nullif("before", F.lit("")).alias("before"), F.expr("final and ended").alias("ends"), F.expr("not final").alias("others"))
+    per = rows.groupBy("word").agg(F.count_if("ends").alias("ends"), F.count_if("others").alias("others"))
+    begun = per.where(F.length("word").between(2, LONGEST_WORD)).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("word"), (F.col("ends") + F.col("others")).alias("n"))
+    begun = begun.groupBy("word").agg(F.sum("n").alias("longer"))
+    both = rows.join(wanted, ["word", "before"], "left_semi").groupBy("word", "before").agg(F.count_if("ends").alias("both_end"), F.count_if("others").alias("both_else"))
+    return wanted.join(both, ["word", "before"], "left").join(per, "word", "left").join(begun, "word", "left").na.fill(0, ["both_end", "both_else", "ends", "others", "longer"])
 
 
 def defects(pairs: DataFrame, key: str = "pair_id", prompt: str = "prompt", response: str = "response") -> DataFrame:
@@ -419,11 +544,23 @@ def defects(pairs: DataFrame, key: str = "pair_id", prompt: str = "prompt", resp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [defect_of(a, b) for a, b in zip(batch.column("prompt").to_pylist(), batch.column("response").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.string())], [key, "defect"]).filter(pa.array([x is not None for x in found], pa.bool_()))
+            found = [_defect_or_word(a, b) for a, b in zip(batch.column("prompt").to_pylist(), batch.column("response").to_pylist())]
+            keep = pa.array([d is not None or w is not None for d, w in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([d for d, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], [key, "defect", "word"]).filter(keep)
+
+    def cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [is_cut(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("word", "both_end", "both_else", "ends", "others", "longer")))]
+            yield batch.select([key]).append_column("defect", pa.array(["truncated"] * batch.num_rows, pa.string())).filter(pa.array(keep, pa.bool_()))
 
+    kind = f"`{key}` {pairs.schema[key].dataType.simpleString()}"
     rows = pairs.select(F.col(key), F.col(prompt).cast("string").alias("prompt"), F.col(response).cast("string").alias("response"))
-    return rows.mapInArrow(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, defect string")
+    judged = cut(rows.mapInArrow(run, f"{kind}, defect string, word string"))
+    open_ = judged.where("defect is null").select(key, F.substring_index("word", " ", -1).alias("word"), F.when(F.contains("word", F.lit(" ")), F.substring_index("word", " ", 1)).alias("before"))
+    wanted = cut(open_.select("word", "before").distinct())
+    counted = endings(rows.where("response is not null"), wanted)
+    open_ = open_.join(counted, open_["word"].eqNullSafe(counted["word"]) & open_["before"].eqNullSafe(counted["before"])).select(key, counted["word"], "both_end", "both_else", "ends", "others", "longer")
+    return judged.where("defect is not null").select(key, "defect").unionAll(open_.mapInArrow(cut_off, f"{kind}, defect string"))
 
 
 def report(pairs: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Problem 3."""
 
+import random
+import time
+
 import pytest
 
 from corpusloom.llm import pairs, queries
@@ -51,6 +54,23 @@ def test_other_language(response):
     assert pairs.defect_of(ASK, response) == "other_language"
 
 
+def tiles_by_hand(left, right, least):
+    """Greedy string tiling by trying all pairs of places, longest runs first."""
+    one, two = [False] * len(left), [False] * len(right)
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(left)):
+            for j in range(len(right)):
+                n = 0
+                while i + n < len(left) and j + n < len(right) and left[i + n] == right[j + n] and not one[i + n] and not two[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return one, two
+        one[i : i + n], two[j : j + n] = [True] * n, [True] * n
+
+
 def test_tiling():
     one, two = pairs.tiles("a b c x d e f".split(), "d e f a b c".split(), 3)
     assert sum(one) == 6 and sum(two) == 6
@@ -58,6 +78,60 @@ def test_tiling():
     assert sum(one) == 3
 
 
+def test_tiling_against_all_pairs():
+    """Windows of halving length may take a run before a longer one of the same order of length: nearly the same cover."""
+    rng = random.Random(2)
+    for letters, n in ((3, 30), (12, 40), (60, 50)):
+        for _ in range(15):
+            left = [str(rng.randrange(letters)) for _ in range(n)]
+            right = left[rng.randrange(n) :] + [str(rng.randrange(letters)) for _ in range(n // 2)] + left[: rng.randrange(n)]
+            one, two = pairs.tiles(left, right, 3)
+            hand, _ = tiles_by_hand(left, right, 3)
+            assert one.sum() == two.sum() and abs(one.sum() - sum(hand)) <= 0.15 * n
+
+
+def test_tiling_of_long_repeats():
+    began = time.perf_counter()
+    for one, two in ((["a"] * 50_000, ["a"] * 50_000), (["a", "b"] * 25_000, ["b", "a", "c"] * 16_000)):
+        pairs.tiles(one, two, 3)
+    assert pairs.defect_of("a b " * 25_000, "a b " * 25_000) == "copied"
+    assert time.perf_counter() - began < 3
+
+
+@pytest.mark.parametrize(
+    "response",
+    [
+        "Because hot rows stay near the reader", "Caching keeps frequently used rows close to readers so they never wait on disk", 'The rod is 5" long and fits the cache slot.', "Half-open intervals such as [0, 1) are common in code.",
+        "Use f(x) where x is in [0, 1).", "I can't overstate it: I will not give more weight to the queue, since caches answer reads.", 'A 3" pipe and "a queue" differ.', 'The note says "5" and ends.',
+    ],
+)
+def test_sound_without_knowing_the_table(response):
+    assert pairs.defect_of(ASK, response) is None
+
+
+@pytest.mark.parametrize(
+    "response, defect",
+    [
+        ("A memória é mais importante porque guarda as linhas mais usadas e responde antes que a fila acabe.", "other_language"), ("De cache is belangrijker omdat hij de rijen bewaart die het meest worden gelezen.", "other_language"),
+        ("Pamięć podręczna jest ważniejsza, ponieważ przechowuje najczęściej czytane wiersze i nie czeka na dysk.", "other_language"), ("La memoria è più importante perché conserva le righe che sono lette più spesso.", "other_language"),
+        ("That's not a subject I'm willing to get into.", "refusal"), ("Sorry, this assistant does not provide answers on that subject.", "refusal"), ("Mi dispiace, ma non posso rispondere a questa domanda.", "refusal"),
+        ("I'm not comfortable answering that.", "refusal"), ("We are unable to help with this request.", "refusal"), ("Não posso responder a essa pergunta.", "refusal"),
+        ("[intentionally left blank]", "empty"), ("(your text goes here)", "empty"), ("<insert answer here>", "empty"),
+    ],
+)
+def test_defects_of_other_kinds(response, defect):
+    assert pairs.defect_of(ASK, response) == defect
+
+
+def test_endings_decide(spark):
+    """What the table goes on after is no end; beginnings of its words are no words; what it ends with is an end."""
+    told = [(i, ASK, "The cache holds the rows of the scheduler. It asks the scheduler for the rows of the reader near the disk.") for i in range(30)]
+    asked = [(100, ASK, "The cache holds the rows of the reader near the disk"), (101, ASK, "The cache holds the"), (102, ASK, "It holds rows. It asks the sched"), (103, ASK, "It asks the scheduler for the rows"), (104, ASK, "It keeps bananas"), (105, ASK, "It holds")]
+    df = spark.createDataFrame(told + asked, "pair_id long, prompt string, response string")
+    got = dict(map(tuple, pairs.defects(df).collect()))
+    assert got == {101: "truncated", 102: "truncated", 103: "truncated", 105: "truncated"}
+
+
 def test_pushdown():
     assert pairs.unfinished('a (b [c] "d"') == ["("]
     assert pairs.unfinished("1) one\n2) two :)") == []
