@@ -120,8 +120,15 @@ REFUSAL = [
         r"\bnie (?:mogę|jestem w stanie|wolno mi)\b[^.;!?]{0,40}\b(?:pomóc|odpowiedzieć|udzielić|powiedzieć|rozmawiać|komentować)\b|\bodmawiam\b|\bwolę nie\b",
     )
 ]
-# A sentence without any of these declines nothing.
-DECLINES = re.compile(r"not\b|n't\b|\bno\b|\bcant\b|declin|refus|\bpass\b|never|outside|beyond|against|violat|contrary|prevent|forbid|prohibit|stop|unable|nicht|kein|ablehn|verweiger|leider|lehne|\bpas\b|declin|déclin|prefier|prefer|rechaz|\bnon\b|rifiut|não|recus|niet|geen|weiger|\bnie\b|odmawiam|wolę")
+# A sentence without any of these parts declines nothing.
+DECLINES = ("not", "n't", "cant", "no can", "no comment", "no pued", "no podr", "no est", "no me", "declin", "refus", "pass", "never", "outside", "beyond", "against", "violat", "contrary", "prevent", "forbid", "prohibit", "stop", "unable",
+    "nicht", "kein", "ablehn", "verweiger", "leider", "lehne", "pas", "déclin", "préfèr", "prefier", "prefer", "rechaz", "negarme", "non ", "rifiut", "não", "recus", "prefir", "niet", "geen", "weiger", "nie ", "odmawiam", "wolę")
+
+
+def may_decline(text: str) -> bool:
+    return any(part in text for part in DECLINES)
+
+
 FILLER = re.compile(
     r"\b(?:sorry|apolog(?:y|ies|ize|ise)|thank(?:s| you)|hello|hi|hmm+|interesting question|good question|great question|unfortunately|let's talk|talk about something else|another topic|something else|please consult|please ask|please contact|someone who knows|professional|expert|anything else|happy to help|sure,? gladly|of course|certainly|hope you understand|understand"
     r"|tut mir leid|leider|danke|hallo|bitte wenden|etwas anderes|gute frage|verständnis|désolé\w*|malheureusement|merci|bonjour|autre chose|autre sujet|consult\w*|compréhension|lo siento|lamento|lamentablemente|gracias|hola|otra cosa|otro tema|por desgracia|desafortunadamente|buena pregunta|bonne question|temo|crains|perdón|disculp\w*|gerne|con gusto|claro|bien sûr|volontiers)\b"
@@ -142,10 +149,14 @@ def plain(text: str) -> str:
     return INVISIBLE.sub("", text)
 
 
+COMBINING = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+BEYOND_LATIN = re.compile("[^\x00-\u024f\u2000-\u206f]")
+
+
 def folded(text: str) -> list[str]:
     """Words without case and accents."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = COMBINING.sub("", unicodedata.normalize("NFKD", text))
     return WORD.findall(text.casefold())
 
 
@@ -252,12 +263,18 @@ def _may_cover(left: list[str], right: list[str], least: int, cover: float) -> b
 
 def is_copied(response: str, instruction: str, least: int = 3, cover: float = 0.75) -> bool:
     """Tiles cover the response, and a whole sentence of the prompt; no sentence of the response is its own."""
-    body = instruction
-    if m := OPTIONS.search(instruction):
-        body, options = instruction[: m.start()], instruction[m.end() :]
-        given = folded(response)
-        for option in options.split("\n"):
-            if folded(re.sub(r"^\s*[-*•]\s*", "", option)) == given:
+    m = OPTIONS.search(instruction)
+    body = instruction[: m.start()] if m else instruction
+    answer = plain(response)
+    said, asked_words = folded(answer), folded(plain(body))
+    if len(said) < 4:  # too few to be a copy by chance or not, unless they are all there is
+        if not said or said != asked_words:
+            return False
+    elif not _may_cover(said, asked_words * 2, least, cover):
+        return False
+    if m:
+        for option in instruction[m.end() :].split("\n"):
+            if folded(re.sub(r"^\s*[-*•]\s*", "", option)) == said:
                 return False
     else:
         asked = CONTEXT.sub("", instruction)
@@ -267,12 +284,8 @@ def is_copied(response: str, instruction: str, least: int = 3, cover: float = 0.
             asked = asked.strip().split("\n", 1)[0].split(":", 1)[0] + " " + (asked.strip().split("\n", 1)[0] if ":" not in asked else "")
         if ASKS_FOR_COPY.search(QUOTED.sub(" ", asked)):
             return False
-    answer = plain(response)
-    said, asked_words = folded(answer), folded(plain(body))
-    if len(said) < 4:  # too few to be a copy by chance or not, unless they are all there is
-        return bool(said) and said == asked_words
-    if not _may_cover(said, asked_words * 2, least, cover):
-        return False
+    if len(said) < 4:
+        return True
     one, _ = tiles(said, asked_words * 2, least)  # twice, for a response that gives it back twice
     if one.sum() < cover * len(said):
         return False
@@ -295,7 +308,7 @@ def is_refusal(response: str) -> bool:
     """It declines, and no sentence says anything else: what isn't a refusal has words of courtesy and few others, or
     hardly any word."""
     text = plain(response).replace("’", "'").replace("‘", "'").lower().strip()
-    if not DECLINES.search(text):
+    if not may_decline(text):
         return False
     declined = False
     for sentence in SENTENCE.split(text):
@@ -303,7 +316,7 @@ def is_refusal(response: str) -> bool:
         if not words:
             continue
         quoted = QUOTED.sub(" ", sentence)
-        if DECLINES.search(quoted) and any(p.search(quoted) for p in REFUSAL):
+        if may_decline(quoted) and any(p.search(quoted) for p in REFUSAL):
             declined = True
         elif len(words) > 3:
             rest = len(WORD.findall(FILLER.sub(" ", quoted)))
@@ -328,13 +341,11 @@ def language(text: str) -> tuple[str | None, float, int]:
 def script(text: str) -> str | None:
     """The script most letters are of, where that isn't Latin."""
     other: dict[str, int] = {}
-    letters = 0
-    for char in text:
+    for char in BEYOND_LATIN.findall(text):
         if char.isalpha():
-            letters += 1
-            if ord(char) > 0x24F:
-                name = unicodedata.name(char, "?").split(" ")[0]
-                other[name] = other.get(name, 0) + 1
+            name = unicodedata.name(char, "?").split(" ")[0]
+            other[name] = other.get(name, 0) + 1
+    letters = sum(map(str.isalpha, text)) if other else 0
     if letters and other:
         best = max(other, key=other.get)
         if other[best] > 0.5 * letters and best not in ("LATIN", "FULLWIDTH", "MODIFIER"):
@@ -343,21 +354,24 @@ def script(text: str) -> str | None:
 
 
 def is_other_language(response: str, instruction: str) -> bool:
+    """Another script than the instruction's, or words of another language, unless the instruction asks for one."""
     asked = CONTEXT.sub("", QUOTED.sub(" ", OPTIONS.split(instruction)[0]))
-    head = asked
-    if ASKS_FOR_LANGUAGE.search(head):
-        return False
-    first = head.split(":", 1)[0] if ":" in head and len(head.split(":", 1)[0].split()) >= 3 else head
-    if head.lstrip().lower().startswith(("passage:", "text:")):
-        first = head.strip().rsplit("\n", 1)[-1]
-    if ASKS_FOR_COPY.search(first) or OPTIONS.search(instruction):
-        return bool(script(response)) and script(response) != script(instruction)
     own = script(response)
-    if own and own != script(instruction):
-        return True
+    odd_script = own is not None and own != script(instruction)
+    first = asked.split(":", 1)[0] if ":" in asked and len(asked.split(":", 1)[0].split()) >= 3 else asked
+    if asked.lstrip().lower().startswith(("passage:", "text:")):
+        first = asked.strip().rsplit("\n", 1)[-1]
+    if not odd_script and not _odd_words(response, first, asked):
+        return False
+    if ASKS_FOR_LANGUAGE.search(asked):
+        return False
+    return odd_script or not (ASKS_FOR_COPY.search(first) or OPTIONS.search(instruction))
+
+
+def _odd_words(response: str, first: str, asked: str) -> bool:
     wanted, sure, n = language(first)
     if wanted is None or n < 2 and len(WORD.findall(first)) > 3 and sure < 0.6:
-        wanted, sure, n = language(head)
+        wanted, sure, n = language(asked)
     spoken, part, m = language(QUOTED.sub(" ", plain(response)))
     if wanted is None or sure < 0.4:
         return False
@@ -529,7 +543,7 @@ def endings(responses: DataFrame, wanted: DataFrame) -> DataFrame:
     shifted = F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit("")), F.col("words")).alias("before"), F.concat(F.slice("words", 2, 1 << 30), F.array(F.lit(""))).alias("after"))
     rows = rows.where(F.size("words") > 0).select(F.explode(shifted).alias("x"), "last", "ended").select("x.word", "x.before", F.col("x.after") == "", "last", "ended").toDF("word", "before", "final", "last", "ended")
     rows = rows.where("word is not null and (not final or ended or not last)").select("word", F.nullif("before", F.lit("")).alias("before"), F.expr("final and ended").alias("ends"), F.expr("not final").alias("others"))
-    per = rows.groupBy("word").agg(F.count_if("ends").alias("ends"), F.count_if("others").alias("others"))
+    per = cut(rows.groupBy("word").agg(F.count_if("ends").alias("ends"), F.count_if("others").alias("others")))  # used twice, in two forms
     begun = per.where(F.length("word").between(2, LONGEST_WORD)).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("word"), (F.col("ends") + F.col("others")).alias("n"))
     begun = begun.groupBy("word").agg(F.sum("n").alias("longer"))
     both = rows.join(wanted, ["word", "before"], "left_semi").groupBy("word", "before").agg(F.count_if("ends").alias("both_end"), F.count_if("others").alias("both_else"))
