@@ -11,6 +11,8 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,15 +95,58 @@ def largest(patterns: dict[tuple[str, ...], int], shares: dict[str, float], repe
     return low
 
 
-def draw(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, buckets: int = 1024, closing: int = 256) -> DataFrame:
+def fitted(gap: int, sizes: np.ndarray, uses: np.ndarray, exact: int = 1 << 17) -> np.ndarray:
+    """How often each of the ``sizes``, ascending, at most its ``uses``, so that their sum is as near to ``gap`` as can be.
+
+    What is beyond ``exact`` goes to the largest sizes that fit; the rest is a bounded subset sum, so a gap up to
+    ``exact`` is met as nearly as possible, and a larger one as nearly as the sizes left by then allow."""
+    out = np.zeros(len(sizes), np.int64)
+    left = uses.astype(np.int64).copy()
+    for i in reversed(range(len(sizes))):
+        if gap <= exact:
+            break
+        n = min(int(left[i]), max(0, gap - exact // 2) // int(sizes[i]))
+        out[i], gap = n, gap - n * int(sizes[i])
+        left[i] -= n
+    gap = min(gap, 2 * exact)  # more than that isn't there to be drawn
+    if gap <= 0:
+        return out
+    first = np.full(2 * gap + 1, -1, np.int64)  # the step that reached a sum first; beyond twice the gap none is of use
+    first[0], steps, reached = 0, [(0, 0)], np.zeros(2 * gap + 1, bool)
+    reached[0] = True
+    for i in reversed(range(len(sizes))):
+        size, many, k = int(sizes[i]), int(left[i]), 1
+        while many > 0 and not reached[gap]:
+            k = min(k, many)
+            if k * size > 2 * gap:
+                break
+            new = np.zeros_like(reached)
+            new[k * size :] = reached[: len(reached) - k * size]
+            new &= ~reached
+            first[new] = len(steps)
+            steps.append((i, k))
+            reached |= new
+            many, k = many - k, 2 * k
+        if reached[gap]:
+            break
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - gap))])
+    while at:
+        i, k = steps[first[at]]
+        out[i] += k
+        at -= k * int(sizes[i])
+    return out
+
+
+def draw(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, buckets: int = 1024, reserve: int = 1 << 16) -> DataFrame:
     """(mix_id, doc_id, source, tokens, repeats): the drawn documents of each mix.
 
     ``documents``: doc_id (unique), sources (an array of clean names), text. ``targets``: mix_id, source, target_share,
     max_repeats. Without ``total`` a mix is as large as exact shares allow; a larger ``total`` fills what it can. Null
     and blank texts and documents without a source of the mix are never drawn. A source without any tokens gets
-    nothing and the others keep their proportions. Each stretch is closed with the ``closing`` next documents on the
-    line, largest first where they fit, so a source misses its quota by less than a small document. Stretches of
-    documents with several sources aren't closed: each may miss its part of the quota by up to a whole document."""
+    nothing and the others keep their proportions. The last ``reserve`` tokens of each stretch are fitted from all
+    documents of the pattern that may be used once more, repeats and patterns of several sources included: a source
+    misses its quota only by what no choice of documents of its patterns can make up."""
     spark = documents.sparkSession
     held = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).limit(MOST_TARGETS + 1).collect()
     if len(held) > MOST_TARGETS:
@@ -135,43 +180,52 @@ def draw(documents: DataFrame, targets: DataFrame, total: int | None = None, see
         _, flow = solve(patterns, shares, repeats, largest(patterns, shares, repeats) if total is None else total)
         at = defaultdict(int)
         for (pattern, source), much in sorted(flow.items()):
-            stretches.append((mix, list(pattern), source, patterns[pattern], at[pattern], much, max(repeats[s] for s in pattern)))
+            stretches.append((mix, list(pattern), source, patterns[pattern], at[pattern], much, max(0, much - reserve), max(repeats[s] for s in pattern)))
             at[pattern] += much
     if not stretches:
         return nothing
-    wanted = F.broadcast(spark.createDataFrame(stretches, "mix_id long, pattern array<string>, source string, whole long, at long, much long, most int"))  # at most patterns x sources of a pattern
+    wanted = F.broadcast(spark.createDataFrame(stretches, "mix_id long, pattern array<string>, source string, whole long, at long, quota long, much long, most int"))  # at most patterns x sources of a pattern
     line = Window.partitionBy("mix_id", "pattern")
     offsets = parts.withColumn("before", F.sum("part").over(line.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["before"]).drop("part")
     inside = Window.partitionBy("mix_id", "pattern", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("c", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(offsets, ["mix_id", "pattern", "bucket"]).withColumn("c", F.col("c") + F.col("before"))
-    drawn = placed.join(wanted, ["mix_id", "pattern"]).select("mix_id", "pattern", "doc_id", "tokens", "order", "source", "whole", "at", "much", "most", "c")
+    drawn = placed.join(wanted, ["mix_id", "pattern"])
     # copies k with at <= c + k * whole and c + tokens + k * whole <= at + much
     first = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("c")) / F.col("whole")))
     last = F.floor((F.col("at") + F.col("much") - F.col("tokens") - F.col("c")) / F.col("whole"))
-    drawn = cut(drawn.withColumn("n", F.greatest(F.lit(0), last - first + 1).cast("int")))
-    got = {(r["mix_id"], tuple(r["pattern"]), r["source"]): r["got"] for r in drawn.groupBy("mix_id", "pattern", "source").agg(F.sum(F.col("tokens") * F.col("n")).alias("got")).collect()}  # a row a stretch
-    gaps = {(m, tuple(p), s): much - got.get((m, tuple(p), s), 0) for m, p, s, _, _, much, _ in stretches}
-    ahead = F.pmod(F.col("c") - (F.col("at") + F.col("much")), F.col("whole"))
-    near = drawn.withColumn("ahead", ahead).withColumn("i", F.row_number().over(Window.partitionBy("mix_id", "pattern", "source").orderBy("ahead", "order", "doc_id"))).where(F.col("i") <= closing)
-    used: dict[tuple, int] = defaultdict(int)
-    fits, extra = defaultdict(list), []
-    candidates = near.select("mix_id", "pattern", "source", "doc_id", "tokens", "n", "most", "whole", "at", "much").collect()  # at most stretches x closing
-    single = {m: all(len(p) == 1 for mm, p, *_ in stretches if mm == m) for m in mixes}
-    for r in candidates:
-        fits[r["mix_id"], tuple(r["pattern"]), r["source"]].append(r)
-        used[r["mix_id"], r["doc_id"]] += r["n"]
-    for key, rows_ in fits.items():
-        if not single[key[0]] and len(key[1]) > 1:
-            continue  # a document of several sources may be drawn by another of them
-        for r in sorted(rows_, key=lambda r: (-r["tokens"], str(r["doc_id"]))):
-            if r["tokens"] <= gaps[key] and used[key[0], r["doc_id"]] < r["most"]:
-                gaps[key] -= r["tokens"]
-                used[key[0], r["doc_id"]] += 1
-                extra.append((key[0], r["doc_id"], key[2], r["tokens"], 1))
-    result = drawn.where("n > 0").select("mix_id", "doc_id", "source", "tokens", F.col("n").alias("repeats"))
-    if extra:
-        result = result.unionAll(spark.createDataFrame(extra, nothing.schema)).groupBy("mix_id", "doc_id", "source", "tokens").agg(F.sum("repeats").cast("int").alias("repeats"))
-    return result
+    copies = F.greatest(F.lit(0), last - first + 1).cast("int")
+    # one row a document and mix: the copies that each of its sources draws, and the uses that are left
+    drawn = drawn.groupBy("mix_id", "pattern", "doc_id", "tokens", "order").agg(F.map_from_entries(F.collect_list(F.struct("source", copies))).alias("n"), F.max("most").alias("most"))
+    uses = F.aggregate(F.map_values("n"), F.lit(0), lambda a, x: a + x)
+    drawn = cut(drawn.withColumn("left", F.col("most") - uses))
+    got = drawn.select("mix_id", "pattern", "tokens", F.explode("n").alias("source", "k")).groupBy("mix_id", "pattern", "source").agg(F.sum(F.col("tokens") * F.col("k")).alias("got"))
+    gaps = wanted.join(got, ["mix_id", "pattern", "source"], "left").select("mix_id", "pattern", "source", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("gap"))
+    widest = gaps.groupBy("mix_id", "pattern").agg(F.sum("gap").alias("widest"))
+    left = drawn.where(F.col("left") > 0).join(F.broadcast(widest), ["mix_id", "pattern"]).where(F.col("tokens") <= 2 * F.col("widest"))
+    sizes = left.groupBy("mix_id", "pattern", "tokens").agg(F.sum("left").alias("uses"))
+
+    def fit(key, pattern_gaps, pattern_sizes):
+        own = pattern_sizes.sort_values("tokens")
+        size, free, taken, out = own["tokens"].to_numpy(), own["uses"].to_numpy().copy(), np.zeros(len(own), np.int64), []
+        for source, gap in sorted(zip(pattern_gaps["source"], pattern_gaps["gap"].tolist())):
+            chosen = fitted(gap, size, free)
+            for i in np.flatnonzero(chosen).tolist():
+                out.append((pattern_gaps["mix_id"].iloc[0], list(pattern_gaps["pattern"].iloc[0]), source, int(size[i]), int(taken[i]), int(taken[i] + chosen[i])))
+            free, taken = free - chosen, taken + chosen
+        return pd.DataFrame(out, columns=["mix_id", "pattern", "source", "tokens", "from", "to"])
+
+    key = F.array_join("pattern", "\x1f").alias("_p")
+    fits = gaps.groupBy("mix_id", key).cogroup(sizes.groupBy("mix_id", key)).applyInPandas(fit, "mix_id long, pattern array<string>, source string, tokens long, `from` long, `to` long")
+    fits = cut(fits)  # at most a row a size and stretch
+    # the uses of equal documents stand on a line in seeded order; only as many documents as are needed are ranked
+    needed = fits.groupBy("mix_id", "pattern", "tokens").agg(F.max("to").alias("needed"))
+    equal = Window.partitionBy("mix_id", "pattern", "tokens").orderBy("order", "doc_id")
+    most = needed.agg(F.max("needed")).first()[0] or 0  # a limit that each task applies to its equal documents before they are shuffled
+    some = drawn.where(F.col("left") > 0).join(needed, ["mix_id", "pattern", "tokens"]).withColumn("i", F.row_number().over(equal)).where(F.col("i") <= most).where(F.col("i") <= F.col("needed"))
+    some = some.withColumn("b", F.coalesce(F.sum("left").over(equal.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    extra = some.join(fits, ["mix_id", "pattern", "tokens"]).select("mix_id", "doc_id", "source", "tokens", (F.least("to", F.col("b") + F.col("left")) - F.greatest("from", "b")).cast("int").alias("repeats")).where("repeats > 0")
+    result = drawn.select("mix_id", "doc_id", "tokens", F.explode("n").alias("source", "repeats")).where("repeats > 0").select("mix_id", "doc_id", "source", "tokens", "repeats")
+    return result.unionAll(extra).groupBy("mix_id", "doc_id", "source", "tokens").agg(F.sum("repeats").cast("int").alias("repeats"))
 
 
 def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
