@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANK_BITS = 40
+MOST_SIZES = 5_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -74,10 +75,14 @@ def pack(documents: DataFrame, capacities: dict[int, int], group_rows: int = 200
     """(spec_id, doc_id, piece, start, size, container): the container of every document, or piece of a document above the capacity.
 
     ``documents``: doc_id, text. Blank and null texts have size 0 and stand in container 0. Repeated ids are packed as
-    often as they come. Sizes that more than ``group_rows`` documents have are ranked in that many hashed groups, whose
-    counts are added up, so no single task ranks a hot size."""
+    often as they come. Documents of equal size are ranked by the hash of their id. Sizes that more than ``group_rows``
+    documents have are ranked in ranges of the hash, whose counts are added up, so no single task ranks a hot size and
+    the ranks are those that one task would give. The histogram comes to the driver: ``MOST_SIZES`` bounds the sum of
+    the capacities."""
     if not capacities or min(capacities.values()) < 1:
         raise ValueError("capacities must be positive")
+    if sum(capacities.values()) > MOST_SIZES:
+        raise ValueError(f"the capacities add up to more than {MOST_SIZES}")
     spark = documents.sparkSession
     items = pieces(documents, capacities)
     counts = items.groupBy("spec_id", "size").agg(F.count("*").alias("n")).collect()  # at most sum of (capacity + 1)
@@ -88,13 +93,13 @@ def pack(documents: DataFrame, capacities: dict[int, int], group_rows: int = 200
         order = np.argsort(key)
         held[spec] = key[order], np.array([c for *_, c in steps], np.int64)[order], containers
     plans = spark.sparkContext.broadcast(held)
-    hot = [(r["spec_id"], r["size"], -(-r["n"] // group_rows)) for r in counts if r["n"] > group_rows]
-    order_by = ["doc_id", "piece"]
+    hot = [(r["spec_id"], r["size"], (-(-r["n"] // group_rows) - 1).bit_length()) for r in counts if r["n"] > group_rows]
+    items, order_by = items.withColumn("hash", F.xxhash64("doc_id", "piece")), ["hash", "doc_id", "piece"]
     if hot:
-        hot_sizes = F.broadcast(spark.createDataFrame(hot, "spec_id long, size long, groups long"))  # rows / group_rows at most
-        items = items.join(hot_sizes, ["spec_id", "size"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("groups", F.lit(1)))).drop("groups")
+        hot_sizes = F.broadcast(spark.createDataFrame(hot, "spec_id long, size long, bits int"))  # rows / group_rows at most
+        items = items.join(hot_sizes, ["spec_id", "size"], "left").withColumn("part", F.expr("case when bits > 0 then shiftright(hash, 64 - bits) else 0 end")).drop("bits")
         ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("spec_id", "size", "part").orderBy(*order_by)) - 1)
-        parts = items.join(hot_sizes.drop("groups"), ["spec_id", "size"], "left_semi").groupBy("spec_id", "size", "part").agg(F.count("*").alias("n"))
+        parts = items.join(hot_sizes.drop("bits"), ["spec_id", "size"], "left_semi").groupBy("spec_id", "size", "part").agg(F.count("*").alias("n"))
         before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("spec_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["before"])
         ranked = ranked.join(before.drop("n"), ["spec_id", "size", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     else:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,19 @@ FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 FORCED, SPACE, SENTENCE, LINE, PARAGRAPH = range(5)
 KINDS = ("forced", "space", "sentence", "line", "paragraph")
-WHITE = re.compile(r"\s+")
+WHITE = re.compile(r"\s")
+STOPS = np.array([ord(c) for c in ".!?…。"], np.uint32)
+
+
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, factor, np.uint64)])) for factor in (FACTOR, INVERSE))
 
 
 def landmarks(data: np.ndarray) -> np.ndarray:
     """A pseudo-random height at every position of ``data`` (bytes), a function of the ``WINDOW`` bytes before it."""
     n = len(data)
-    step = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, FACTOR, np.uint64)]))
-    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, INVERSE, np.uint64)]))
+    step, back = _powers(1 << max(n, 1).bit_length())
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * step[:n])])
     out = np.zeros(n + 1, np.uint64)
     if n >= WINDOW:
@@ -39,26 +45,52 @@ def landmarks(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def peak(raw: np.ndarray, low: int, high: int) -> int:
+    """The first of the highest positions from ``low`` to ``high``; only the bytes around them are looked at."""
+    a = max(0, low - WINDOW)
+    return low + int(np.argmax(landmarks(raw[a:high])[low - a :]))
+
+
+@lru_cache(1)
+def _spaces() -> np.ndarray:
+    """Which code points up to the last white space of Unicode are white space."""
+    return np.array([WHITE.match(chr(c)) is not None for c in range(0x3002)])
+
+
+BLOCK = 1 << 20
+
+
 def boundaries(text: str, data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Byte positions after each run of white space, their kinds, and the longest stretch without white space in bytes."""
-    ascii_ = len(data) == len(text)
-    spans = [(m.start(), m.end()) for m in WHITE.finditer(text)]
-    if not spans:
+    """Byte positions after each run of white space, their kinds, and the longest stretch without white space in bytes.
+
+    Works through blocks of characters that end inside a word, so memory grows with the number of runs."""
+    space, places, kinds = _spaces(), [], []
+    a = at = last = longest = 0  # characters and bytes done, byte after the last run
+    while a < len(text):
+        b = min(a + BLOCK, len(text))
+        while b < len(text) and (WHITE.match(text[b - 1]) or WHITE.match(text[b])):
+            b += 1
+        code = np.frombuffer(text[a:b].encode("utf-32-le", "surrogatepass"), np.uint32)
+        white = (code < len(space)) & space[np.minimum(code, len(space) - 1)]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], white, [False]]).view(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        breaks = (code == 10) | ((code == 13) & (np.append(code[1:], 0) != 10))
+        lines = np.concatenate([[0], np.cumsum(breaks, dtype=np.int32)])
+        lines = lines[ends] - lines[starts]
+        before = code[np.maximum(starts - 1, 0)]
+        stop = np.isin(before, STOPS) & (starts > 0)
+        kinds.append(np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, np.where(stop, SENTENCE, SPACE))).astype(np.int8))
+        width = 1 + (code > 0x7F) + (code > 0x7FF).astype(np.int64) + (code > 0xFFFF)
+        byte = np.concatenate([[0], np.cumsum(width)]) + at
+        begins, places_ = byte[starts], byte[ends]
+        if len(starts):
+            longest = max(longest, int(np.max(begins - np.append(last, places_[:-1]))))
+            last = int(places_[-1])
+        places.append(places_)
+        a, at = b, int(byte[-1])
+    if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.int8), len(data)
-    starts, ends = np.array(spans, np.int64).T
-    kinds = np.full(len(spans), SPACE, np.int8)
-    for i, (a, b) in enumerate(spans):
-        gap = text[a:b] if b - a > 1 else text[a]
-        if "\n" in gap or "\r" in gap:
-            kinds[i] = PARAGRAPH if len(gap) > 1 and gap.replace("\r\n", "\n").replace("\r", "\n").count("\n") > 1 else LINE
-        elif a and text[a - 1] in ".!?…。":
-            kinds[i] = SENTENCE
-    if not ascii_:
-        lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
-        at = np.append(np.flatnonzero(lead), len(data))  # byte position of each character
-        starts, ends = at[starts], at[ends]
-    longest = int(np.max(np.append(starts, len(data)) - np.append(0, ends)))
-    return ends, kinds, longest
+    return np.concatenate(places), np.concatenate(kinds), max(longest, len(data) - last)
 
 
 def split(text: str, capacity: int, overlap: int) -> tuple[list[tuple[int, int, int]], int]:
@@ -71,14 +103,13 @@ def split(text: str, capacity: int, overlap: int) -> tuple[list[tuple[int, int,
     if n <= capacity:
         return [(0, n, PARAGRAPH)], longest
     raw = np.frombuffer(data, np.uint8)
-    height = landmarks(raw)
     lead = np.append((raw & 0xC0) != 0x80, True)
     whole = lead[places] & lead[np.maximum(places - overlap, 0)]  # the next piece begins between characters, too
     least = max(overlap + 1, capacity // 2)
     out, start = [], 0
     while n - start > capacity:
         low, high = start + least, start + capacity
-        peak = low + int(np.argmax(height[low : high + 1]))
+        top = peak(raw, low, high)
         a, b = np.searchsorted(places, (start + overlap + 1, high + 1))
         best = None
         for exact in (True, False):
@@ -87,7 +118,7 @@ def split(text: str, capacity: int, overlap: int) -> tuple[list[tuple[int, int,
                 if exact:
                     some = some[whole[some]]
                 if len(some):
-                    near = np.abs(places[some] - peak)
+                    near = np.abs(places[some] - top)
                     i = int(np.argmin(near))
                     if near[i] <= reach:
                         best = int(places[some[i]]), int(kinds[some[i]])
@@ -96,7 +127,7 @@ def split(text: str, capacity: int, overlap: int) -> tuple[list[tuple[int, int,
                 break
         if best is None:
             floor = start + overlap + 1  # below it the next piece would not get on
-            near = np.arange(peak, max(floor, peak - 64) - 1, -1)
+            near = np.arange(top, max(floor, top - 64) - 1, -1)
             fits = [near[lead[near] & lead[near - overlap]], near[lead[near]], near]
             stop = int(next(x for x in fits if len(x))[0])
             best = stop, FORCED
