@@ -3,7 +3,7 @@
     python -m corpusloom.cli convert --path texts.jsonl --out-root out --split train --concat-tokens 2048 --eos-id 2
     python -m corpusloom.cli pairs --path records.jsonl --out-root out --split train --preprocessor alpaca
     python -m corpusloom.cli profile --path pairs.parquet --min 1.5 --max 8 --num 10 --batch 8 --length 2048
-    python -m corpusloom.cli runs --path runs.jsonl --project mpt --filters 7b --out report.csv
+    python -m corpusloom.cli runs --path runs.jsonl --project base --filters 7b --out report.csv
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import PRIME, draw, row_seed
+
 IGNORED = -100
 
 
@@ -75,11 +77,11 @@ def mlm(ids, key, probability: float, mask_id: int, vocabulary: int, seed: int =
     """Masked input and labels. Which positions are chosen, and what replaces them (80 % mask, 10 % random, 10 % kept),
     is a function of seed, row key and position."""
     ids = _c(ids)
-    draw = lambda i, salt: F.pmod(F.xxhash64(F.lit(seed), _c(key), i, F.lit(salt)), F.lit(1_000_000)) / 1_000_000.0
-    chosen = lambda i: draw(i, 1) < probability
+    row = row_seed(seed, _c(key), "mlm")
+    chosen = lambda i: draw(row, i, 1) < int(probability * PRIME)
     inputs = F.transform(
         ids,
-        lambda t, i: F.when(~chosen(i), t).when(draw(i, 2) < 0.8, F.lit(mask_id).cast("long")).when(draw(i, 2) < 0.9, F.pmod(F.xxhash64(F.lit(seed), _c(key), i, F.lit(3)), F.lit(vocabulary)).cast("long")).otherwise(t),
+        lambda t, i: F.when(~chosen(i), t).when(draw(row, i, 2) < int(0.8 * PRIME), F.lit(mask_id).cast("long")).when(draw(row, i, 2) < int(0.9 * PRIME), draw(row, i, 3) % vocabulary).otherwise(t),
     )
     return inputs, F.transform(ids, lambda t, i: F.when(chosen(i), t).otherwise(F.lit(IGNORED).cast("long")))
 
@@ -128,6 +130,20 @@ def momentum(values, beta: float) -> Column:
 
 def z_loss(logits, weight: float) -> Column:
     """``weight * logsumexp(logits)^2``, with the largest logit taken out first."""
-    top = F.array_max(_c(logits)).cast("double")
-    total = F.ln(F.aggregate(_c(logits), F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))) + top
+    total = _log_sum(logits)
     return total * total * weight
+
+
+def _log_sum(logits) -> Column:
+    top = F.array_max(_c(logits)).cast("double")
+    return F.ln(F.aggregate(_c(logits), F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))) + top
+
+
+def cross_entropy(logits, target) -> Column:
+    """Of one prediction: the logarithm of the sum of exponentials less the target's own logit."""
+    return _log_sum(logits) - F.get(_c(logits), _c(target).cast("int")).cast("double")
+
+
+def argmax(logits) -> Column:
+    """The first place of the largest value, from 0."""
+    return F.array_position(_c(logits), F.array_max(_c(logits))) - 1

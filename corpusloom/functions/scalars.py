@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 PEAK_FLOPS = 312e12  # fixed value: an A100's bf16 operations per second
 
 
+PRIME = (1 << 31) - 1
+
+
+def row_seed(seed: int, key, *salt) -> Column:
+    """28 bits of a row, from seed, key and salt; other engines get the same from md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string") if isinstance(key, str) else key.cast("string"), *(F.lit(str(x)) for x in salt))), 1, 7), 16, 10).cast("long")
+
+
+def draw(row: Column, i: Column, salt: int = 0) -> Column:
+    """0 to ``PRIME`` - 1 for place ``i`` of a row, scrambled by squares modulo a prime: whole numbers below 2^63 only, so
+    any engine repeats it."""
+    a = (row + i.cast("long") * 2_654_435 + salt * 40_503) % PRIME
+    b = (a * a) % PRIME
+    c = (b * 48_271 + a) % PRIME
+    return (c * c + b) % PRIME
+
+
 def to_bool(text: Column) -> Column:
     """true/t/1/yes/y and false/f/0/no/n in any case; anything else is an error."""
     low = F.lower(F.trim(text))

@@ -6,13 +6,17 @@ vocabulary; ``vocabulary_tokens`` runs a public byte-pair vocabulary in Arrow ba
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
+
 
 @dataclass(frozen=True)
 class Tokenizer:
@@ -76,16 +80,28 @@ def text_of(points: Column) -> Column:
     return F.array_join(F.transform(points, lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")), "")
 
 
+def shipped(spark, path: str) -> str:
+    """The name by which every executor finds the driver's file ``path``, delivered once by Spark's own file server."""
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary file {path}: name one that the driver can read")
+    name = os.path.basename(path)
+    if SparkFiles.get(name) not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(SparkFiles.get(name))
+    return name
+
+
 def vocabulary_tokens(path: str):
     """A column function ``text -> array<long>`` of a ``tokenizers`` vocabulary file (for instance byte_bpe_50k.json).
 
-    The file is read once a worker; texts pass in Arrow batches."""
+    ``path``: where executors have the file, or its name from :func:`shipped`. It is read once a worker; texts pass in
+    Arrow batches."""
 
     @F.pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer as Vocabulary
 
-        vocabulary = Vocabulary.from_file(path)
+        vocabulary = Vocabulary.from_file(path if os.path.dirname(path) else SparkFiles.get(path))
         vocabulary.encode_special_tokens = True
         for texts in batches:
             yield pd.Series([e.ids for e in vocabulary.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], index=texts.index)

@@ -12,8 +12,13 @@ def running_offset(df: DataFrame, order: str, size: Column, span: int = 10_000,
     """``df`` with the sum of ``size`` over all rows of lower ``order`` (ties: by all of one order value together).
 
     A prefix sum in two levels: rows are summed within spans of order values in parallel, and only the sums of spans,
-    one row a span, go through one ordered window. No window runs over all rows."""
-    df = df.withColumn("_size", size.cast("long")).withColumn("_span", F.floor(F.col(order) / span))
+    one row a span, go through one ordered window. No window runs over all rows. Spans are equal parts of the range of
+    the order, each for about ``span`` rows, however sparse its values lie; reading the range and the number of rows
+    takes one pass over the order column."""
+    low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    wide = max(1, -(-(int(high) - int(low) + 1) * span // max(rows, 1))) if rows and low is not None else 1
+    place = F.lit(0) if low is None else F.floor((F.col(order) - F.lit(int(low))) / wide)
+    df = df.withColumn("_size", size.cast("long")).withColumn("_span", place)
     spans = df.groupBy("_span").agg(F.sum("_size").alias("_sum"))
     before = spans.select("_span", F.coalesce(F.sum("_sum").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -69,7 +69,7 @@ def leaderboard(scores: DataFrame) -> DataFrame:
 
 
 def result_table(log: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Category, benchmark, subtask, accuracy, num_shot, model and position. A metric without subtasks gives one row; one
+    """Category, benchmark, subtask, accuracy, num_shot and model. A metric without subtasks gives one row; one
     with several gives an Average row and then a row each, which name the subtask only."""
     rows = parsed(log).withColumn("subtask", F.coalesce("subtask", F.lit("no_subcat")))
     key = ["model", "num_shot", "benchmark", "metric"]
@@ -89,3 +89,12 @@ def stacked(frames: list[DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def in_order(groups: list[DataFrame], label: str, order: str) -> DataFrame:
+    """(position, label): the labels of each table by their first row, table after table. Labels are few: evaluators."""
+    every = None
+    for i, rows in enumerate(groups):
+        one = rows.groupBy(label).agg(F.min(order).alias("_first")).select(F.lit(i).alias("_part"), label, "_first")
+        every = one if every is None else every.unionAll(one)
+    return every.select((F.row_number().over(Window.orderBy("_part", "_first", label)) - 1).cast("long").alias("position"), label)

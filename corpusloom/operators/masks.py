@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,16 @@ def attention_pairs(df: DataFrame, key: str, sequence: str, prefix: str | None =
     return rows.where((F.col("_x.s") == F.col("_si")) & seen).select(key, "i", "j")
 
 
+def bias_shape(impl: Column, heads: Column, length: Column, alibi: Column, prefix: Column, causal: Column, sequence_ids: Column) -> Column:
+    """The shape of the bias that attention adds, or null where it needs none: by head where distances count, a row for
+    every query where not all keys before it are seen alike. Fused kernels take none; unknown ones are an error."""
+    one = F.lit(1).cast("long")
+    heads, length, every = heads.cast("long"), length.cast("long"), prefix | sequence_ids
+    rows = F.when(every | (alibi & ~causal), length).otherwise(one)
+    shape = F.when(alibi | every, F.array(one, F.when(alibi, heads).otherwise(one), rows, length))
+    return F.when(impl.isin("torch", "triton"), shape).when(impl != "flash", F.raise_error(F.concat(F.lit("unknown attention: "), impl)).cast("array<long>"))
+
+
 def alibi_slopes(heads: int, bias_max: float = 8.0) -> list[float]:
     """A slope a head: powers of 2 evenly spaced down to ``2^-bias_max``; where heads aren't a power of two, those of the
     next power, every second one first."""

@@ -166,6 +166,27 @@ LOADERS_OF = {
 }
 
 
+# The layout that denoising loaders give to models of one layout only.
+DECODER_ONLY = {"hf_t5": False, "hf_prefix_lm": True}
+
+
+def checked_loaders(model: str, loaders: list[dict], icl: bool = False) -> list[dict]:
+    """The loaders as ``model`` can be fed by them: a denoising loader's ``decoder_only_format`` is overridden, with a
+    warning, where the model has one layout only. Loaders that don't feed the model are an error, and so are in-context
+    tasks (``icl``) for an encoder-decoder model."""
+    out = []
+    for loader in loaders:
+        check_loader(loader["name"], model)
+        wanted = DECODER_ONLY.get(model)
+        if loader["name"] == "text_denoising" and wanted is not None and bool(loader.get("decoder_only_format")) != wanted:
+            warnings.warn(f"models of type {model} need decoder_only_format {wanted}", stacklevel=2)
+            loader = loader | {"decoder_only_format": wanted}
+        out.append(loader)
+    if icl and DECODER_ONLY.get(model) is False:
+        raise ValueError("in-context tasks don't run on encoder-decoder models")
+    return out
+
+
 def check_loader(loader: str, model: str) -> None:
     if model not in LOADERS_OF.get(loader, set()):
         raise ValueError(f"loader {loader} doesn't feed models of type {model}")

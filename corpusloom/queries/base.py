@@ -51,3 +51,16 @@ def joined(array) -> Column:
 
 #: Word tokens in SQL: the same md5 modulo as :func:`corpusloom.functions.tokenize.word_tokens`.
 WORDS = r"list_transform(regexp_extract_all(coalesce({0}, ''), '\S+'), lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 32764 + 4)"
+
+
+def seeded(seed: str, key: str, salt: str) -> str:
+    """SQL of :func:`corpusloom.functions.scalars.row_seed`."""
+    return f"('0x' || substr(md5('{seed}-' || {key}::VARCHAR || '-{salt}'), 1, 7))::BIGINT"
+
+
+def drawn(row: str, i: str, salt: int = 0) -> str:
+    """SQL of :func:`corpusloom.functions.scalars.draw`."""
+    a = f"(({row} + {i} * 2654435 + {salt * 40503}) % 2147483647)"
+    b = f"(({a} * {a}) % 2147483647)"
+    c = f"(({b} * 48271 + {a}) % 2147483647)"
+    return f"(({c} * {c} + {b}) % 2147483647)"

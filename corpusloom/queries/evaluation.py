@@ -128,12 +128,36 @@ def JON9_choices(t):
     return icl.expanded(t.mc_items).select("item_id", "choice_idx", "choice")
 
 
-@query("SELECT loader, model, allowed FROM (VALUES ('text', 'hf_t5', false), ('text', 'mpt_causal_lm', true), ('finetuning', 'hf_t5', true), ('text_denoising', 'hf_causal_lm', false)) v(loader, model, allowed)")
+@query("""WITH c AS (SELECT p_partkey AS run_id, CASE p_partkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'text_denoising' ELSE 'finetuning' END AS loader, CASE p_size % 4 WHEN 0 THEN 'hf_t5' WHEN 1 THEN 'hf_prefix_lm' WHEN 2 THEN 'hf_causal_lm' ELSE 'mpt_causal_lm' END AS model, p_partkey % 2 = 0 AS asked, p_partkey % 5 = 0 AS icl FROM part)
+SELECT run_id, NOT ((loader = 'text' AND model IN ('hf_t5', 'hf_prefix_lm')) OR (loader = 'text_denoising' AND model = 'hf_causal_lm') OR (icl AND model = 'hf_t5')) AS allowed,
+CASE WHEN loader = 'text_denoising' THEN CASE model WHEN 'hf_t5' THEN false WHEN 'hf_prefix_lm' THEN true ELSE asked END END AS decoder_only FROM c""")
 def JON11_loader_matrix(t):
-    from ..plans.config import LOADERS_OF
-
-    cases = [("text", "hf_t5"), ("text", "mpt_causal_lm"), ("finetuning", "hf_t5"), ("text_denoising", "hf_causal_lm")]
-    return t.rows([(a, b, b in LOADERS_OF[a]) for a, b in cases], "loader string, model string, allowed boolean")
+    """Runs joined with what the configuration check says of their few combinations of loader, model and settings."""
+    import itertools
+    import warnings
+
+    from ..plans.config import LOADERS_OF, checked_loaders
+
+    models = sorted(set().union(*LOADERS_OF.values()))
+    said = []
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for loader, model, asked, icl_ in itertools.product(LOADERS_OF, models, (True, False), (True, False)):
+            one = {"name": loader} | ({"decoder_only_format": asked} if loader == "text_denoising" else {})
+            only = None
+            for with_icl in (False, icl_):
+                try:
+                    only, allowed = checked_loaders(model, [one], with_icl)[0].get("decoder_only_format"), True
+                except ValueError:
+                    allowed = False
+            said.append((loader, model, asked, icl_, allowed, asked if only is None and loader == "text_denoising" else only))
+    rules = t.rows(said, "loader string, model string, asked boolean, icl boolean, allowed boolean, decoder_only boolean")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    runs = t.part.select(
+        k.alias("run_id"), F.when(k % 3 == 0, "text").when(k % 3 == 1, "text_denoising").otherwise("finetuning").alias("loader"), F.when(size % 4 == 0, "hf_t5").when(size % 4 == 1, "hf_prefix_lm").when(size % 4 == 2, "hf_causal_lm").otherwise("mpt_causal_lm").alias("model"),
+        (k % 2 == 0).alias("asked"), (k % 5 == 0).alias("icl"),
+    )
+    return runs.join(rules, ["loader", "model", "asked", "icl"]).select("run_id", "allowed", "decoder_only")
 
 
 @query("SELECT 'a' AS model, item_id, gold FROM copa UNION ALL SELECT 'b', item_id, gold FROM mc_items")
@@ -151,10 +175,11 @@ def SET3_common_splits(t):
     return t.data_splits.select("folder_split").intersect(t.finetune_example.select("folder_split"))
 
 
-@query("SELECT position::BIGINT AS position, label FROM (VALUES (0, 'base'), (1, 'copa'), (2, 'household_mc'), (3, 'nature_mc')) v(position, label)")
+@query("""WITH l AS (SELECT 1 AS part, 'lm_tasks/' || label AS label, min(item_id) AS first FROM lm_tasks GROUP BY label UNION ALL SELECT 2, 'mc_items/' || label, min(item_id) FROM mc_items GROUP BY label)
+SELECT 0::BIGINT AS position, 'base' AS label UNION ALL SELECT row_number() OVER (ORDER BY part, first, label)::BIGINT, label FROM l""")
 def SET4_ordered_evaluators(t):
-    names = ["base", *["copa"], *["household_mc", "nature_mc"]]
-    return t.rows(list(enumerate(names)), "position long, label string")
+    """The base evaluator, then those of the language modelling tasks, then the multiple-choice ones, as they come."""
+    return evalagg.in_order([t.spark.sql("SELECT 'base' AS label, 0L AS item_id"), t.lm_tasks.select(F.concat(F.lit("lm_tasks/"), "label").alias("label"), "item_id"), t.mc_items.select(F.concat(F.lit("mc_items/"), "label").alias("label"), "item_id")], "label", "item_id")
 
 
 @query("SELECT DISTINCT unnest(choices) AS choice FROM mc_items")
@@ -213,7 +238,7 @@ def SMP1_seeded_shuffle(t):
     from ..operators.concat import running_offset
 
     rows = t.documents.select("doc_id", sampling.hashed("doc_id", 9176, portable=True).alias("h"))
-    return running_offset(rows, "h", F.lit(1), span=1 << 38, name="place").select("doc_id", (F.col("place") + 1).alias("place"))
+    return running_offset(rows, "h", F.lit(1), name="place").select("doc_id", (F.col("place") + 1).alias("place"))
 
 
 WEIGHTED = f"""WITH q(stream, quota) AS (VALUES ('quizmill', 500), ('fablebank', 300), ('longwalk', 200)),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -13,8 +11,8 @@ from ..operators import series
 from .base import query
 
 # A run a part: sizes, lengths and devices are made of its numbers.
-RUNS = """(SELECT p_partkey AS run_id, 'mpt-' || CASE p_partkey % 4 WHEN 0 THEN '125m' WHEN 1 THEN '1b' WHEN 2 THEN '7b' ELSE '30b' END || '-' || p_partkey AS name,
- 'mpt-' || CASE p_partkey % 4 WHEN 0 THEN '125m' WHEN 1 THEN '1b' WHEN 2 THEN '7b' ELSE '30b' END AS model,
+RUNS = """(SELECT p_partkey AS run_id, 'base-' || CASE p_partkey % 4 WHEN 0 THEN '125m' WHEN 1 THEN '1b' WHEN 2 THEN '7b' ELSE '30b' END || '-' || p_partkey AS name,
+ 'base-' || CASE p_partkey % 4 WHEN 0 THEN '125m' WHEN 1 THEN '1b' WHEN 2 THEN '7b' ELSE '30b' END AS model,
  CASE p_partkey % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, CASE p_partkey % 4 WHEN 0 THEN 125e6 WHEN 1 THEN 1.3e9 WHEN 2 THEN 6.7e9 ELSE 30e9 END::DOUBLE AS n_params,
  (12 + p_partkey % 37)::BIGINT AS n_layers, (768 + 64 * (p_partkey % 50))::BIGINT AS d_model, (CASE p_partkey % 3 WHEN 0 THEN 512 WHEN 1 THEN 2048 ELSE 8192 END)::BIGINT AS seq_len,
  (CASE p_partkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 64 END)::BIGINT AS gpu_num, (p_size * 64)::BIGINT AS global_batch, (1 + p_partkey % 6)::BIGINT AS micro_batch, p_partkey % 2 = 0 AS act_ckpt, p_retailprice / 100 AS samples_per_sec FROM part)"""
@@ -31,7 +29,7 @@ def _runs(t):
 
     size = pick(4, "125m", "1b", "7b", "30b")
     return t.part.select(
-        k.alias("run_id"), F.concat(F.lit("mpt-"), size, F.lit("-"), k.cast("string")).alias("name"), F.concat(F.lit("mpt-"), size).alias("model"), pick(5, "FAILED", "RUNNING", "COMPLETED").alias("status"),
+        k.alias("run_id"), F.concat(F.lit("base-"), size, F.lit("-"), k.cast("string")).alias("name"), F.concat(F.lit("base-"), size).alias("model"), pick(5, "FAILED", "RUNNING", "COMPLETED").alias("status"),
         pick(4, 125e6, 1.3e9, 6.7e9, 30e9).alias("n_params"), (12 + k % 37).alias("n_layers"), (768 + 64 * (k % 50)).alias("d_model"), pick(3, 512, 2048, 8192).cast("long").alias("seq_len"), pick(3, 8, 16, 64).cast("long").alias("gpu_num"),
         (F.col("p_size") * 64).cast("long").alias("global_batch"), (1 + k % 6).alias("micro_batch"), (k % 2 == 0).alias("act_ckpt"), (F.col("p_retailprice") / 100).alias("samples_per_sec"),
     )
@@ -46,9 +44,9 @@ def SRC11_run_catalogue(t):
     return sources.runs(t.spark, path).select(F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("run_id"), "name", "status", "gpu_num")
 
 
-@query(f"SELECT run_id, name FROM {RUNS} WHERE contains(name, 'mpt') AND contains(name, '7b') AND contains(name, '-1')")
+@query(f"SELECT run_id, name FROM {RUNS} WHERE contains(name, 'base') AND contains(name, '7b') AND contains(name, '-1')")
 def FLT3_run_names(t):
-    return R.named(_runs(t), "mpt", ("7b", "-1")).select("run_id", "name")
+    return R.named(_runs(t), "base", ("7b", "-1")).select("run_id", "name")
 
 
 @query(f"SELECT run_id, status FROM {RUNS} WHERE status = 'COMPLETED'")
@@ -146,12 +144,14 @@ def AGG18_microbatches(t):
     return t.rows([(48, 11), (48, 12), (5, 8)], "batch long, micro long").select("batch", "micro", joined(scalars.microbatches(F.col("batch"), F.col("micro"))).alias("sizes"))
 
 
-@query("SELECT label, round(exp(avg(length(query) / 100.0)), 6) AS perplexity, round(avg(CASE WHEN gold = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM mc_items WHERE gold IS NOT NULL GROUP BY label")
+@query("""WITH p AS (SELECT vec_id % 7 AS label, embedding AS e, vec_id % len(embedding) AS target, ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))) AS total FROM embeddings)
+SELECT label, round(exp(avg(total - e[target + 1]::DOUBLE)), 6) AS perplexity, round(avg((list_position(e, list_max(e)) - 1 = target)::INT), 6) AS accuracy FROM p GROUP BY label""")
 def AGG19_model_metrics(t):
+    """Vectors as logits of one prediction each: cross entropy, perplexity and accuracy per label."""
     from ..operators.icl import accuracy, perplexity
 
-    rows = t.mc_items.where("gold is not null")
-    return rows.groupBy("label").agg(F.round(perplexity(F.length("query") / 100.0), 6).alias("perplexity"), F.round(accuracy(F.col("gold") == 0), 6).alias("accuracy"))
+    rows = t.embeddings.withColumn("target", F.col("vec_id") % F.size("embedding"))
+    return rows.groupBy((F.col("vec_id") % 7).alias("label")).agg(F.round(perplexity(A.cross_entropy("embedding", "target")), 6).alias("perplexity"), F.round(accuracy(A.argmax("embedding") == F.col("target")), 6).alias("accuracy"))
 
 
 @query("WITH b AS (SELECT least(floor(l_discount * 100 / 11 * 10), 9) AS b, avg(l_discount * 100 / 11) AS c, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS a, count(*) AS n FROM lineitem GROUP BY 1) SELECT round(sum(n * abs(a - c)) / sum(n), 6) AS ece FROM b")
@@ -391,8 +391,13 @@ def STR_outliers_as_stream(t):
     return t.spark.read.parquet(f"{place}/rows").select("event_id", F.round("mva", 6).alias("mva"), "outlier")
 
 
-@query("SELECT layers::BIGINT AS layers, heads::BIGINT AS heads, round(pow(2.0, -8.0 / heads), 9) AS steepest FROM (VALUES (12, 8), (24, 16)) v(layers, heads)")
+@query("""WITH c AS (SELECT p_partkey AS run_id, CASE p_partkey % 3 WHEN 0 THEN 'flash' WHEN 1 THEN 'torch' ELSE 'triton' END AS impl, (8 + 8 * (p_partkey % 4))::BIGINT AS h, (128 * (1 + p_size % 8))::BIGINT AS s, p_size % 2 = 0 AS alibi, p_size % 3 = 0 AS prefix, p_size % 5 > 0 AS causal, p_partkey % 7 = 0 AS ids FROM part)
+SELECT run_id, CASE WHEN impl = 'flash' THEN NULL WHEN alibi AND (prefix OR NOT causal OR ids) THEN '1,' || h || ',' || s || ',' || s WHEN alibi THEN '1,' || h || ',1,' || s WHEN prefix OR ids THEN '1,1,' || s || ',' || s END AS shape FROM c""")
 def NUM5_bias_shapes(t):
-    from ..operators.masks import alibi_slopes
+    from ..operators.masks import bias_shape
+    from .base import joined
 
-    return t.rows([(layers, heads, round(math.fsum(alibi_slopes(heads)[:1]), 9)) for layers, heads in ((12, 8), (24, 16))], "layers long, heads long, steepest double")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    impl = F.when(k % 3 == 0, "flash").when(k % 3 == 1, "torch").otherwise("triton")
+    shape = bias_shape(impl, 8 + 8 * (k % 4), 128 * (1 + size % 8), size % 2 == 0, size % 3 == 0, size % 5 > 0, k % 7 == 0)
+    return t.part.select(k.alias("run_id"), joined(shape).alias("shape"))

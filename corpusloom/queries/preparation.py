@@ -8,7 +8,7 @@ from .. import sinks, sources
 from ..functions import arrays as A
 from ..functions import tokenize as K
 from ..operators import concat, pairs, sampling
-from .base import WORDS, joined, query
+from .base import WORDS, drawn, joined, query, seeded
 
 
 def some_pair(record: dict) -> dict:
@@ -90,7 +90,7 @@ def SRC12_icl_items(t):
     return sources.icl_items(t.spark, path).select("query", F.when(F.col("choices").isNotNull(), F.size("choices")).cast("long").alias("n"), "gold")
 
 
-@query()
+@query(f"SELECT row_id, list_transform(range(0, 128), lambda i: {drawn('s', 'i')} % 32000) AS input_ids, list_transform(range(0, 128), lambda i: 1::INT) AS attention_mask FROM (SELECT r AS row_id, {seeded('0', 'r', 'synthetic')} AS s FROM range(0, 64) t(r))")
 def SRC13_synthetic_batch(t):
     return sources.synthetic(t.spark, 64, 128, 32_000)
 
@@ -282,12 +282,11 @@ def TOK1_code_points(t):
 
 @query()
 def TOK1_byte_pair_vocabulary(t):
-    """Token counts of a public byte-pair vocabulary, where its file is there; else of the bytes."""
+    """Token counts of a public byte-pair vocabulary; its file is the driver's and is shipped to the executors."""
     import os
 
     path = os.environ.get("CORPUSLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
-    ids = K.vocabulary_tokens(path)("text") if os.path.exists(path) else K.byte_tokens(F.col("text"))
-    return t.documents.select("doc_id", F.size(ids).alias("n"))
+    return t.documents.select("doc_id", F.size(K.vocabulary_tokens(K.shipped(t.spark, path))("text")).alias("n"))
 
 
 @query(f"SELECT pair_id, array_to_string(list_resize(list_slice(ids, 1, 32), 32, 0), ',') AS ids FROM (SELECT pair_id, {WORDS.format('prompt')} AS ids FROM tasks)")
@@ -375,7 +374,8 @@ def TOK10_clm_labels(t):
     return t.tasks.select("pair_id", joined(A.clm_labels(A.fitted(K.word_tokens(F.col("prompt")), 24, 0), F.lit(0))).alias("labels"))
 
 
-@query()
+@query(f"""SELECT pair_id, array_to_string(list_transform(ids, lambda t, i: CASE WHEN {drawn('s', '(i - 1)', 1)} >= 322122546 THEN t WHEN {drawn('s', '(i - 1)', 2)} < 1717986917 THEN 3 WHEN {drawn('s', '(i - 1)', 2)} < 1932735282 THEN {drawn('s', '(i - 1)', 3)} % 32768 ELSE t END), ',') AS input_ids,
+array_to_string(list_transform(ids, lambda t, i: CASE WHEN {drawn('s', '(i - 1)', 1)} < 322122546 THEN t ELSE -100 END), ',') AS labels FROM (SELECT pair_id, {WORDS.format('prompt')} AS ids, {seeded('0', 'pair_id', 'mlm')} AS s FROM tasks)""")
 def TOK10_mlm_labels(t):
     inputs, labels = A.mlm(K.word_tokens(F.col("prompt")), "pair_id", 0.15, 3, 32_768)
     return t.tasks.select("pair_id", joined(inputs).alias("input_ids"), joined(labels).alias("labels"))

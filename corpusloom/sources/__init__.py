@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions.scalars import draw, row_seed
 from pyspark.sql import types as T
 
 ICL_SCHEMA = "query string, choices array<string>, gold long, context string, continuation string, answer string, aliases array<string>, context_options array<string>, category string"
@@ -107,7 +109,7 @@ def icl_items(spark: SparkSession, path: str) -> DataFrame:
 
 def synthetic(spark: SparkSession, rows: int, length: int, vocabulary: int, seed: int = 0) -> DataFrame:
     """Random token rows with full masks, for measuring; a function of seed and row."""
-    ids = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(vocabulary)))
+    ids = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: draw(row_seed(seed, "id", "synthetic"), i) % vocabulary)
     return spark.range(rows).select(F.col("id").alias("row_id"), ids.alias("input_ids"), F.array_repeat(F.lit(1), length).alias("attention_mask"))
 
 
