@@ -25,6 +25,14 @@ def draw(row: Column, i: Column, salt: int = 0) -> Column:
     return (c * c + b) % PRIME
 
 
+def drawn(row, i, salt: int = 0):
+    """:func:`draw` over arrays of whole numbers below 2^31."""
+    a = (row + i * 2_654_435 + salt * 40_503) % PRIME
+    b = (a * a) % PRIME
+    c = (b * 48_271 + a) % PRIME
+    return (c * c + b) % PRIME
+
+
 def to_bool(text: Column) -> Column:
     """true/t/1/yes/y and false/f/0/no/n in any case; anything else is an error."""
     low = F.lower(F.trim(text))

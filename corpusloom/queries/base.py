@@ -53,9 +53,9 @@ def joined(array) -> Column:
 WORDS = r"list_transform(regexp_extract_all(coalesce({0}, ''), '\S+'), lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 32764 + 4)"
 
 
-def seeded(seed: str, key: str, salt: str) -> str:
+def seeded(seed: str, key: str, *salt: str) -> str:
     """SQL of :func:`corpusloom.functions.scalars.row_seed`."""
-    return f"('0x' || substr(md5('{seed}-' || {key}::VARCHAR || '-{salt}'), 1, 7))::BIGINT"
+    return f"('0x' || substr(md5('{seed}-' || {key}::VARCHAR || '{''.join('-' + x for x in salt)}'), 1, 7))::BIGINT"
 
 
 def drawn(row: str, i: str, salt: int = 0) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import tokenize as K
 from ..operators import collate, denoise, icl, masks, packing, pairs
-from .base import WORDS, joined, query
+from .base import WORDS, drawn, joined, query, seeded
 
 LENGTH = 48
 
@@ -170,12 +170,37 @@ def _noised(t, decoder_only):
     return denoise.denoised(rows, "ids", "doc_id", 256, denoise.noisers([(3.0, 0.15), (8.0, 0.5)], [0.25], {"[S2S]": (5,), "[NLU]": (6,), "[NLG]": (7,)}), decoder_only=decoder_only, seed=17)
 
 
-@query()
+def _noised_sql(decoder_only: bool) -> str:
+    """Corruption in SQL: parts cut at the places with the least draws, inputs and labels put together span by span."""
+    kinds = denoise.noisers([(3.0, 0.15), (8.0, 0.5)], [0.25])
+    first, second, third = (denoise.longest_start(256, denoise.Noiser(n.ratio, n.mean, p), decoder_only, decoder_only) for n, p in zip(kinds, ((6,), (7,), (5,))))
+    marks = lambda total, salt: f"""(SELECT doc_id, list_concat([0], list_concat(coalesce(list(p ORDER BY p) FILTER (WHERE r < spans), []), [any_value(t)])) AS at FROM (SELECT doc_id, p, spans, t, row_number() OVER (PARTITION BY doc_id ORDER BY {drawn('s', 'p', salt)}, p) AS r
+FROM (SELECT doc_id, s, spans, {total} AS t, unnest(range(0, {total})) AS p FROM n) WHERE p > 0 UNION ALL SELECT doc_id, 0, spans, {total}, 1099511627776 FROM n) GROUP BY doc_id)"""
+    text = lambda x: f"array_to_string({x}, ',')"
+    gap = "256 - len(i) - len(l)"
+    if decoder_only:
+        columns = f"""{text(f"list_concat({_fill(0, gap)}, list_concat(i, l))")} AS input_ids, {text(f"list_concat({_fill(-100, '256 - len(l)')}, l)")} AS labels,
+{text(f"list_concat({_fill(0, gap)}, {_fill(1, 'len(i) + len(l)')})")} AS attention_mask, {text(f"list_concat({_fill(0, gap)}, list_concat({_fill(1, 'len(i)')}, {_fill(0, 'len(l)')}))")} AS bidirectional_mask"""
+    else:
+        columns = f"""{text("list_resize(i, 256, 0)")} AS input_ids, {text("list_resize(l, 256, -100)")} AS labels, {text(f"list_concat({_fill(1, 'len(i)')}, {_fill(0, '256 - len(i)')})")} AS attention_mask,
+{text("list_resize(list_concat([0], list_slice(l, 1, len(l) - 1)), 256, 0)")} AS decoder_input_ids, {text(f"list_concat({_fill(1, 'len(l)')}, {_fill(0, '256 - len(l)')})")} AS decoder_attention_mask"""
+    return f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS ids, {seeded('17', 'doc_id')} AS s FROM documents),
+w AS (SELECT *, {drawn('s', '0', 1)} % 3 AS k FROM d WHERE len(ids) > 0), c AS (SELECT doc_id, s, k::INT AS noiser, list_slice(ids, greatest(len(ids) - start + 1, 1), len(ids)) AS tok, ratio, mean, head FROM w JOIN (VALUES (0, 0.15::DOUBLE, 3.0::DOUBLE, 6, {first}), (1, 0.5, 8.0, 7, {second}), (2, 0.25, NULL, 5, {third})) v(kind, ratio, mean, head, start) ON v.kind = w.k),
+m AS (SELECT *, len(tok) AS n, greatest(len(tok), 2) AS f FROM c), o AS (SELECT *, CASE WHEN mean IS NULL THEN least(round_even(1 + (2 * ratio * ({drawn('s', '0', 4)} / 2147483647.0::DOUBLE)) * (n - 1), 0), f - 1) ELSE least(greatest(round_even(ratio * f, 0), 1), f - 1) END::BIGINT AS noise FROM m),
+n AS (SELECT *, CASE WHEN mean IS NULL THEN 1 ELSE least(greatest(round_even(noise / mean, 0), 1), noise, f - noise) END::BIGINT AS spans FROM o),
+b AS (SELECT n.*, x.at AS kc, y.at AS nc FROM n JOIN {marks('f - noise', 2)} x USING (doc_id) JOIN {marks('noise', 3)} y USING (doc_id)),
+r AS (SELECT doc_id, noiser, list_concat([head], CASE WHEN mean IS NULL THEN list_slice(tok, 1, CASE WHEN n = 1 THEN 1 ELSE n - noise END) ELSE flatten(list_transform(range(1, spans + 1), lambda j: list_concat(list_slice(tok, kc[j] + nc[j] + 1, kc[j + 1] + nc[j]), CASE WHEN n > 1 THEN [32868 - j] ELSE [] END))) END) AS i,
+CASE WHEN mean IS NULL THEN CASE WHEN n = 1 THEN [] ELSE list_slice(tok, n - noise + 1, n) END WHEN n = 1 THEN [32867] ELSE flatten(list_transform(range(1, spans + 1), lambda j: list_concat([32868 - j], list_slice(tok, kc[j + 1] + nc[j] + 1, kc[j + 1] + nc[j + 1])))) END AS l FROM b),
+e AS (SELECT doc_id, noiser, {"list_append(i, 2)" if decoder_only else "i"} AS i, list_append(l, 2) AS l FROM r)
+SELECT doc_id, noiser, {columns} FROM e"""
+
+
+@query(_noised_sql(True))
 def DEN4_DEN10_decoder_only(t):
     return _text(_noised(t, True), "doc_id", "noiser")
 
 
-@query()
+@query(_noised_sql(False))
 def DEN5_DEN9_encoder_decoder(t):
     return _text(_noised(t, False), "doc_id", "noiser")
 
