@@ -62,7 +62,7 @@ def profile(spark: SparkSession, args) -> None:
         rows = rows.withColumn("_row", F.monotonically_increasing_id())
     ids = rows.select(F.col(args.order or "_row").alias("row"), _tokens(args, F.col("prompt")).alias("context"), _tokens(args, F.col("response")).alias("target"))
     inputs = collate.decoder_only(ids, args.length, 0, 2)
-    print(sinks.markdown(packing.profile(inputs, "row", args.batch, args.length, 0, packing.ratios(args.min, args.max, args.num, args.batch))))
+    print(sinks.markdown(packing.profile(inputs, "row", args.batch, args.length, packing.ratios(args.min, args.max, args.num, args.batch))))
 
 
 def report(spark: SparkSession, args) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,18 +43,19 @@ def first_fit(sizes: list[int], members: list, bins: int, capacity: int, open_bi
     return line[:bins], line[bins:]
 
 
-def joined(examples: list[dict]) -> dict:
+def joined(examples: list[dict]) -> dict[str, np.ndarray]:
     """Examples one after another: each one's first label is ignored (nothing precedes it), sequences are numbered on."""
-    out: dict[str, list] = {}
-    for k, example in enumerate(examples):
-        for name, values in example.items():
-            values = list(values)
-            if name == "labels" and k and values:
-                values[0] = IGNORED
-            if name == "sequence_id":
-                start = max(out["sequence_id"]) + 1 if out.get("sequence_id") else 0
-                values = [start + v for v in values]
-            out.setdefault(name, []).extend(values)
+    out = {}
+    for name in examples[0] if examples else ():
+        parts = [np.asarray(e[name], np.int64) for e in examples]
+        if name == "labels":
+            parts = [np.concatenate([[IGNORED], p[1:]]) if k and len(p) else p for k, p in enumerate(parts)]
+        if name == "sequence_id":
+            start = 0
+            for k, p in enumerate(parts):
+                parts[k] = p + start
+                start = int(parts[k].max()) + 1 if len(p) else start
+        out[name] = np.concatenate(parts)
     return out
 
 
@@ -94,47 +96,53 @@ def pack_batches(df: DataFrame, size: int, length: int, pad: int, side: str = "l
     kinds = {c: "int" if c.endswith("mask") else "long" for c in columns}
     schema = "stream long, batch_id long, pos int, " + ", ".join(f"{c} array<{kinds.get(c, 'long')}>" for c in (*columns, "sequence_id")) + ", used int, total_new long"
 
+    names = [*columns, "sequence_id"]
+
     def fold(batches):
         now, held, open_bins = None, [], []
 
         def packed():
+            """Columns of the packed rows: flat values per input column, and the short ones."""
             nonlocal open_bins
             sizes = [len(e["input_ids"]) for e in held]
             full, rest = first_fit(sizes, held, size, length, open_bins)
             open_bins = rest[:most]
-            out = []
-            for i, b in enumerate(full):
-                example = joined(b.members)
-                gap = max(0, length - b.size)
-                for name in example:
-                    fill = [FILL.get(name, pad)] * gap
-                    example[name] = fill + example[name] if side == "left" else example[name] + fill
-                out.append({"stream": now[0], "batch_id": now[1], "pos": i, **example, "used": b.size, "total_new": sum(sizes)})
-            return out
-
-        def table(out):
-            types = {f: pa.list_(pa.int32() if kinds.get(f) == "int" else pa.int64()) for f in (*columns, "sequence_id")}
-            types |= {"stream": pa.int64(), "batch_id": pa.int64(), "pos": pa.int32(), "used": pa.int32(), "total_new": pa.int64()}
-            names = ["stream", "batch_id", "pos", *columns, "sequence_id", "used", "total_new"]
-            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], types[n]) for n in names], names)
+            flat = {}
+            examples = [joined(b.members) for b in full]
+            for name in names:
+                rows_ = np.full((len(full), length), FILL.get(name, pad), np.int64)
+                for i, example in enumerate(examples):
+                    n = len(example[name])
+                    rows_[i, length - n if side == "left" else 0 : length if side == "left" else n] = example[name]
+                flat[name] = rows_
+            return flat, [(*now, i, b.size, sum(sizes)) for i, b in enumerate(full)]
+
+        def table(parts):
+            short = [x for _, own in parts for x in own]
+            offsets = pa.array(np.arange(len(short) + 1, dtype=np.int32) * length)
+            wide = {n: np.concatenate([flat[n] for flat, _ in parts]).ravel().astype(np.int32 if kinds.get(n) == "int" else np.int64) for n in names}
+            streams, ids, places, used, total = (list(x) for x in zip(*short))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(wide[n])) for n in names]
+            return pa.RecordBatch.from_arrays([pa.array(streams, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), *lists, pa.array(used, pa.int32()), pa.array(total, pa.int64())], ["stream", "batch_id", "pos", *names, "used", "total_new"])
 
         for piece in batches:
             out = []
-            for row in piece.to_pylist():
-                key = row["stream"], row["batch_id"]
+            lists = {c: (piece.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), piece.column(c).flatten().to_numpy(zero_copy_only=False)) for c in {*columns, "attention_mask"}}
+            starts = {c: np.cumsum(n) - n for c, (n, _) in lists.items()}
+            for i, key in enumerate(zip(piece.column("stream").to_pylist(), piece.column("batch_id").to_pylist())):
                 if key != now:
                     if now is not None:
-                        out += packed()
+                        out.append(packed())
                         if now[0] != key[0]:
                             open_bins = []
                     now, held = key, []
-                kept = [i for i, a in enumerate(row["attention_mask"]) if a == 1]
-                example = {c: [row[c][i] for i in kept] for c in columns}
-                held.append(example | {"sequence_id": [0] * len(kept)})
-            if out:
+                own = {c: lists[c][1][starts[c][i] : starts[c][i] + lists[c][0][i]] for c in lists}
+                kept = own["attention_mask"] == 1
+                held.append({c: own[c][kept] for c in columns} | {"sequence_id": np.zeros(int(kept.sum()), np.int64)})
+            if any(short for _, short in out):
                 yield table(out)
-        if now is not None and (out := packed()):
-            yield table(out)
+        if now is not None and (last := packed())[1]:
+            yield table([last])
 
     return rows.mapInArrow(fold, schema)
 
@@ -157,13 +165,28 @@ def ratios(least: float, most: float, number: int, size: int) -> list[tuple[floa
     return [(ratio, raw) for raw, ratio in out.items()]
 
 
-def profile(df: DataFrame, order: str, size: int, length: int, pad: int, candidates: list[tuple[float, int]], side: str = "left") -> DataFrame:
-    """(ratio, raw_rows, padding_percent, waste_percent) of each candidate over the same rows."""
-    from .collate import batched
+def profile(df: DataFrame, order: str, size: int, length: int, candidates: list[tuple[float, int]], leftovers: int | None = None, batches: int = 100) -> DataFrame:
+    """(ratio, raw_rows, padding_percent, waste_percent) of each candidate over one draw of rows: the first in order, as
+    many as ``batches`` raw batches of the greatest candidate have. Raw batches of fewer than ``size`` rows are left out.
 
-    out = None
-    for ratio, raw in candidates:
-        stats = statistics(pack_batches(batched(df, order, raw), size, length, pad, side), length)
-        row = stats.select(F.lit(ratio).alias("ratio"), F.lit(raw).alias("raw_rows"), F.round(100 * (1 - F.col("efficiency")), 4).alias("padding_percent"), F.round(100 * F.col("waste"), 4).alias("waste_percent"))
-        out = row if out is None else out.unionAll(row)
-    return out
+    Only sizes are drawn, a bounded number of them, and candidates are tried side by side; no task sees the table."""
+    most, drawn = check(length, size, leftovers, ()), max((raw for _, raw in candidates), default=0) * batches
+    tokens = F.size(F.filter("attention_mask", lambda m: m == 1))
+    sizes = np.array([r[0] for r in df.select(tokens.alias("n"), order).orderBy(order).limit(drawn).select("n").collect()], np.int64)
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for ratio, raw in zip(part.column("ratio").to_pylist(), part.column("raw_rows").to_pylist()):
+                open_bins, used, total, rows = [], 0, 0, 0
+                for a in range(0, len(sizes), raw):
+                    some = sizes[a : a + raw].tolist()
+                    if len(some) >= size:
+                        full, rest = first_fit(some, [None] * len(some), size, length, open_bins)
+                        open_bins = rest[:most]
+                        used, total, rows = used + sum(b.size for b in full), total + sum(some), rows + len(full)
+                out.append((ratio, raw, round(100 * (1 - used / (rows * length)), 4) if rows else None, round(100 * (1 - used / total), 4) if total else None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.float64(), pa.int64(), pa.float64(), pa.float64()))], ["ratio", "raw_rows", "padding_percent", "waste_percent"])
+
+    rows = df.sparkSession.createDataFrame([(float(r), int(n)) for r, n in candidates], "ratio double, raw_rows long").repartition(max(1, len(candidates)), "raw_rows")
+    return rows.mapInArrow(run, "ratio double, raw_rows long, padding_percent double, waste_percent double")

@@ -113,7 +113,28 @@ def _batches(t, raw):
     return collate.batched(collate.decoder_only(_tokenised(t), 128, 0, 2), "pair_id", raw).withColumn("stream", F.floor(F.col("batch_id") / 8))
 
 
-@query()
+def _packed_sql(raw: int, stream: str, select: str, drawn: int = 1 << 40) -> str:
+    """First fit, largest first, as a recursion over examples: a step an example, all streams at once; a batch's last step
+    puts the 8 fullest bins out and keeps 80 others open. ``select`` reads from ``y`` (examples) and ``f`` (steps)."""
+    cut = CUT.replace(str(LENGTH), "128")
+    return f"""(WITH RECURSIVE x AS (SELECT list_concat(c, t) AS ids, list_concat({_fill(-100, 'len(c)')}, t) AS labels, row_number() OVER (ORDER BY pair_id) - 1 AS g FROM ({cut})),
+v AS (SELECT *, g // {raw} AS batch_id, {stream.format(f'(g // {raw})')} AS stream, len(ids) AS size, count(*) OVER (PARTITION BY g // {raw}) AS m FROM x WHERE g < {drawn}),
+y AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY size DESC, g) - 1 AS d, row_number() OVER (PARTITION BY stream ORDER BY batch_id, size DESC, g) AS step FROM v {'WHERE m >= 8' if drawn < 1 << 40 else ''}),
+f AS (SELECT DISTINCT stream, -1::BIGINT AS batch_id, 0::BIGINT AS step, []::STRUCT(s BIGINT, m BIGINT[])[] AS line, NULL::STRUCT(s BIGINT, m BIGINT[])[] AS full_ FROM y UNION ALL
+SELECT stream, batch_id, step, CASE WHEN last THEN list_slice(sorted, 9, 88) ELSE line END, CASE WHEN last THEN list_slice(sorted, 1, 8) END FROM (SELECT *, CASE WHEN last THEN list_transform(list_sort(list_transform(line, lambda b, i: {{'n': -b.s, 'i': i, 'b': b}})), lambda z: z.b) END AS sorted
+FROM (SELECT stream, batch_id, step, last, CASE WHEN k IS NULL THEN list_append(line, {{'s': size, 'm': [g]}}) ELSE list_append(list_concat(list_slice(line, 1, k - 1), list_slice(line, k + 1, len(line))), {{'s': line[k].s + size, 'm': list_append(line[k].m, g)}}) END AS line
+FROM (SELECT f.stream, y.batch_id, y.step, f.line, y.size, y.g, y.d = y.m - 1 AS last, CASE WHEN y.m - y.d > greatest(0, 8 - len(f.line)) THEN list_filter(range(1, len(f.line) + 1), lambda j: f.line[j].s + y.size <= 128)[1] END AS k FROM f JOIN y ON y.stream = f.stream AND y.step = f.step + 1))))
+{select})"""
+
+
+STREAMS = "({} // 8)"
+STATISTICS = "SELECT sum(used)::BIGINT AS packed_tokens, (SELECT sum(size) FROM y)::BIGINT AS total_tokens, count(*)::BIGINT AS rows FROM (SELECT unnest(full_).s AS used FROM f WHERE full_ IS NOT NULL)"
+
+
+@query(f"SELECT stream::BIGINT AS stream, batch_id::BIGINT AS batch_id, pos::INT AS pos, used::INT AS used, input_ids, sequence_id, labels FROM " + _packed_sql(24, STREAMS, f"""SELECT e.stream, e.batch_id, e.pos, e.used, array_to_string(list_concat({_fill(0, '128 - e.used')}, flatten(list(y.ids ORDER BY k))), ',') AS input_ids,
+array_to_string(list_concat({_fill(-1, '128 - e.used')}, flatten(list(list_transform(y.ids, lambda z: k - 1) ORDER BY k))), ',') AS sequence_id,
+array_to_string(list_concat({_fill(-100, '128 - e.used')}, flatten(list(CASE WHEN k = 1 THEN y.labels ELSE list_concat([-100], list_slice(y.labels, 2, len(y.labels))) END ORDER BY k))), ',') AS labels
+FROM (SELECT stream, batch_id, pos, b.s AS used, unnest(b.m) AS g, generate_subscripts(b.m, 1) AS k FROM (SELECT stream, batch_id, unnest(full_) AS b, unnest(range(0, len(full_))) AS pos FROM f WHERE full_ IS NOT NULL)) e JOIN y ON y.g = e.g GROUP BY e.stream, e.batch_id, e.pos, e.used"""))
 def PCK1_PCK5_packed_batches(t):
     raw = packing.raw_batch(8, 3.0)
     packed = packing.pack_batches(_batches(t, raw), 8, 128, 0, stream="stream")
@@ -138,14 +159,17 @@ def PCK6_packing_ratio(t):
     return t.rows([(8, r, packing.raw_batch(8, r)) for r in (3.0, 5.5, 1.0)], "size long, ratio double, raw long")
 
 
-@query()
+@query("SELECT packed_tokens, total_tokens, rows, 1 - packed_tokens::DOUBLE / total_tokens AS waste, packed_tokens::DOUBLE / (rows * 128) AS efficiency FROM " + _packed_sql(24, STREAMS, STATISTICS))
 def PCK4_AGG7_packing_statistics(t):
     return packing.statistics(packing.pack_batches(_batches(t, 24), 8, 128, 0, stream="stream"), 128)
 
 
-@query()
+RATIOS = packing.ratios(1.5, 4.0, 6, 8)
+
+
+@query(" UNION ALL ".join(f"SELECT {ratio}::DOUBLE AS ratio, {raw}::BIGINT AS raw_rows, round(100 * (1 - packed_tokens::DOUBLE / (rows * 128)), 4) AS padding_percent, round(100 * (1 - packed_tokens::DOUBLE / total_tokens), 4) AS waste_percent FROM {_packed_sql(raw, '0', STATISTICS, 100 * max(r for _, r in RATIOS))}" for ratio, raw in RATIOS))
 def AGG8_packing_profile(t):
-    return packing.profile(collate.decoder_only(_tokenised(t), 128, 0, 2), "pair_id", 8, 128, 0, packing.ratios(1.5, 4.0, 6, 8))
+    return packing.profile(collate.decoder_only(_tokenised(t), 128, 0, 2), "pair_id", 8, 128, RATIOS)
 
 
 @query(
