@@ -109,6 +109,20 @@ def vocabulary_tokens(path: str):
     return run
 
 
+def vocabulary_text(path: str):
+    """The texts that :func:`vocabulary_tokens` made ids of, exactly."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer as Vocabulary
+
+        vocabulary = Vocabulary.from_file(path if os.path.dirname(path) else SparkFiles.get(path))
+        for ids in batches:
+            yield pd.Series(vocabulary.decode_batch([list(x) for x in ids], skip_special_tokens=False), index=ids.index)
+
+    return run
+
+
 def padded_vocabulary(size: int, multiple: int) -> int:
     """``size`` rounded up to a multiple."""
     return -(-size // multiple) * multiple

@@ -78,7 +78,8 @@ def best_choice(scores: DataFrame, item: str, perplexity: str = "perplexity", op
 
 def qa_correct(generated: Column, aliases: Column) -> Column:
     """The generation starts with an alias, after lower case, without punctuation, articles and extra blanks."""
-    tidy = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\b(a|an|the)\b", " "), r"\s+", " "))
+    words = lambda c: F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), r"\s+")
+    tidy = lambda c: F.array_join(F.filter(words(c), lambda w: ~w.isin("a", "an", "the", "")), " ")
     return F.exists(aliases, lambda a: F.startswith(tidy(generated), tidy(a)))
 
 

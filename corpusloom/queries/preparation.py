@@ -280,13 +280,14 @@ def TOK1_code_points(t):
     return t.copa.select("item_id", joined(K.code_points(F.col("query"))).alias("ids"))
 
 
-@query()
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) > 0 AS has_tokens FROM documents")
 def TOK1_byte_pair_vocabulary(t):
-    """Token counts of a public byte-pair vocabulary; its file is the driver's and is shipped to the executors."""
+    """Ids of a public byte-pair vocabulary and back; its file is the driver's and is shipped to the executors."""
     import os
 
-    path = os.environ.get("CORPUSLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
-    return t.documents.select("doc_id", F.size(K.vocabulary_tokens(K.shipped(t.spark, path))("text")).alias("n"))
+    path = K.shipped(t.spark, os.environ.get("CORPUSLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json"))
+    ids = t.documents.select("doc_id", K.vocabulary_tokens(path)("text").alias("ids"))
+    return ids.select("doc_id", F.md5(K.vocabulary_text(path)("ids")).alias("digest"), (F.size("ids") > 0).alias("has_tokens"))
 
 
 @query(f"SELECT pair_id, array_to_string(list_resize(list_slice(ids, 1, 32), 32, 0), ',') AS ids FROM (SELECT pair_id, {WORDS.format('prompt')} AS ids FROM tasks)")

@@ -279,9 +279,9 @@ def ICL1_ICL2_ICL3_metric_keys(t):
     return tasks.select(keys.alias("key"))
 
 
-@query("SELECT pair_id, starts_with(trim(regexp_replace(regexp_replace(regexp_replace(lower(response), '[^\\w\\s]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')), 'nothing but') AS correct FROM tasks WHERE response IS NOT NULL AND preproc = 'multiple_choice' AND regexp_full_match(response, '[ -~]*')".replace("\\\\", "\\"))
+@query(r"SELECT pair_id, starts_with(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(response), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' '), 'nothing but') AS correct FROM tasks WHERE response IS NOT NULL")
 def ICL5_question_answering(t):
-    rows = t.tasks.where("response is not null and preproc = 'multiple_choice'").where(F.col("response").rlike(r"\A[ -~]*\z"))
+    rows = t.tasks.where("response is not null")
     return rows.select("pair_id", icl.qa_correct(F.col("response"), F.array(F.lit("nothing but"))).alias("correct"))
 
 
