@@ -1,5 +1,7 @@
 """Literal results, properties and small folds of the operators."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -378,3 +380,25 @@ def test_core_doesnt_know_the_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"^\s*(?:from|import)\s.*\bllm\b", path.read_text(), re.M), path
+
+
+@pytest.mark.parametrize("length, span, seed", [(7, 5, 0), (16, 3, 1), (50, 8, 2), (1, 4, 3), (500, 2, 4)])
+def test_no_wrap_chunks_against_a_fold(spark, length, span, seed):
+    """Spans far smaller than chunks and the other way round, empty and null rows, sparse orders, two mixed streams."""
+    rng = random.Random(seed)
+    rows, order = [], 0
+    for _ in range(120):
+        order += rng.choice([1, 1, 2, 900])
+        rows.append((order, rng.randrange(2), rng.choice([None, [], *([rng.randrange(9) for _ in range(rng.randrange(1, 30))] for _ in range(6))])))
+    want, held = {}, {}
+    for _, stream, ids in rows:
+        own, n = held.get(stream, ([], 0))
+        own = own + [1] * (length > 7) + (ids or []) + [2] * (length > 7)
+        if len(own) >= length:
+            want[stream, n] = own[:length]
+            own, n = [], n + 1
+        held[stream] = own, n
+    df = spark.createDataFrame(rows, "k long, s int, t array<long>").repartition(4)
+    got = concat.concat_chunks_no_wrap(df, "t", "k", length, (1,) * (length > 7), (2,) * (length > 7), stream="s", span=span).collect()
+    assert {(r["stream"], r["chunk_id"]): r["tokens"] for r in got} == want and len(got) == len(want)
+    assert concat.concat_chunks_no_wrap(df.limit(0), "t", "k", length).count() == 0
