@@ -1,9 +1,17 @@
-"""Command lines: conversion of texts and pairs to shards, packing profiles, and run reports.
+"""Command lines: conversion of texts and pairs to shards, packing profiles, run reports, score tables, and sweeps.
 
     python -m corpusloom.cli convert --path texts.jsonl --out-root out --split train --concat-tokens 2048 --eos-id 2
     python -m corpusloom.cli pairs --path records.jsonl --out-root out --split train --preprocessor alpaca
     python -m corpusloom.cli profile --path pairs.parquet --min 1.5 --max 8 --num 10 --batch 8 --length 2048
     python -m corpusloom.cli runs --path runs.jsonl --project base --filters 7b --out report.csv
+    python -m corpusloom.cli scores --path metrics.jsonl --config scores.yaml gauntlet.weighting=EQUAL --out tables
+    python -m corpusloom.cli sweep --config sweep.yaml project=speed gpu_nums=[8,16]
+
+``scores`` reads (model, key, position, value) rows and a configuration ``gauntlet`` with ``weighting``,
+``subtract_baseline``, ``rescale`` and ``categories``: lists of ``name`` and ``benchmarks`` (``name``, ``num_fewshot``,
+``random_baseline``). ``sweep`` reads ``project``, ``models``, ``seq_len_exp`` (two exponents of 2), ``batch_sizes``,
+``batch_size_exp``, ``microbatch_sizes`` and ``gpu_nums`` and gives every combination that divides evenly. Settings
+given as ``key.key=value`` replace those of the file.
 """
 
 from __future__ import annotations
@@ -15,7 +23,8 @@ from pyspark.sql import functions as F
 
 from . import sinks, sources
 from .functions import tokenize as K
-from .operators import collate, concat, packing, pairs, runs
+from .operators import collate, concat, evalagg, packing, pairs, runs
+from .plans import config
 from .plans.lineage import scope
 
 
@@ -76,12 +85,55 @@ def report(spark: SparkSession, args) -> None:
         print(f"left out, as figures are missing: {row['name']}")
 
 
+def _settings(args) -> dict:
+    given = config.from_dots(args.settings)
+    return config.resolved(config.merged(sources.settings(args.config), given) if args.config else given)
+
+
+def _put(table: DataFrame, out: str | None, name: str) -> None:
+    sinks.write_csv(table, f"{out}/{name}") if out else print(sinks.markdown(table))
+
+
+def scores(spark: SparkSession, args) -> None:
+    """The table of all results and, with a ``gauntlet``, the leaderboard of its categories."""
+    log, plan = _read(spark, args.path, args.format).select("model", "key", F.col("position").cast("long"), F.col("value").cast("double")), _settings(args)
+    gauntlet = plan.get("gauntlet") or {}
+    rows = [(c["name"], b["name"], str(b["num_fewshot"]), float(b.get("random_baseline") or 0.0)) for c in gauntlet.get("categories") or [] for b in c["benchmarks"]]
+    benchmarks = spark.createDataFrame(rows, "category string, benchmark string, num_shot string, baseline double")
+    _put(evalagg.result_table(log, benchmarks.groupBy("benchmark").agg(F.min("category").alias("category"))), args.out, "results")
+    if rows:
+        sizes = spark.createDataFrame([(k, int(v)) for k, v in (gauntlet.get("benchmark_sizes") or {}).items()], "name string, samples long")
+        weighted = evalagg.weights(benchmarks, sizes if gauntlet.get("benchmark_sizes") else None, gauntlet.get("weighting", "EQUAL"))
+        board = evalagg.gauntlet(log, weighted, gauntlet.get("subtract_baseline", True), gauntlet.get("rescale", True))
+        _put(evalagg.leaderboard(board), args.out, "leaderboard")
+
+
+def sweep(spark: SparkSession, args) -> None:
+    """Runs of every model, length, batch, microbatch and number of GPUs that go together, with their names."""
+    plan = _settings(args)
+    if unknown := set(plan) - {"project", "models", "seq_len_exp", "batch_sizes", "batch_size_exp", "microbatch_sizes", "gpu_nums"}:
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+    few = lambda name, kind, default: spark.createDataFrame([(x,) for x in plan.get(name) or default], f"{name} {kind}")
+    low, high = plan.get("seq_len_exp") or (11, 11)
+    batches = runs.batches(runs.sequence_lengths(spark, low, high), plan.get("batch_sizes") or [], *(plan.get("batch_size_exp") or (19, 19)))
+    grid = runs.sweep(few("models", "string", ["base"]), batches, few("microbatch_sizes", "long", [1]), few("gpu_nums", "long", [8])).toDF("model", "seq_len", "global_batch", "micro_batch", "gpu_num")
+    grid = grid.where("global_batch % gpu_num = 0 and (global_batch div gpu_num) % micro_batch = 0")
+    named = grid.select(runs.run_name(F.lit(plan.get("project", "sweep")), *(F.col(c) for c in ("model", "gpu_num", "seq_len", "global_batch", "micro_batch"))).alias("name"), "*")
+    _put(named.orderBy("model", "seq_len", "global_batch", "micro_batch", "gpu_num"), args.out, "sweep")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="corpusloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, function in (("convert", convert), ("pairs", convert_pairs), ("profile", profile), ("runs", report)):
+    for name, function in (("convert", convert), ("pairs", convert_pairs), ("profile", profile), ("runs", report), ("scores", scores), ("sweep", sweep)):
         c = commands.add_parser(name)
         c.set_defaults(function=function)
+        if name in ("scores", "sweep"):
+            c.add_argument("--config")
+            c.add_argument("--out", help="a folder for CSV tables; printed without one")
+            c.add_argument("settings", nargs="*", help="key.key=value")
+        if name == "sweep":
+            continue
         c.add_argument("--path", required=True)
         c.add_argument("--format", default="json")
         c.add_argument("--order")
