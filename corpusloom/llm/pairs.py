@@ -146,7 +146,20 @@ def plain(text: str) -> str:
         text = html.unescape(text) if "&" in text else text
     if "<" in text:
         text = TAG.sub(" ", text)
-    return INVISIBLE.sub("", text)
+    return text if text.isascii() else INVISIBLE.sub("", text)
+
+
+ANY_QUOTE = re.compile("[\"“„«`]")
+
+
+def unquoted(text: str) -> str:
+    """Without quotations and code."""
+    return QUOTED.sub(" ", text) if ANY_QUOTE.search(text) else text
+
+
+def without_context(text: str) -> str:
+    """Without the context given after the question; all its names have these letters."""
+    return CONTEXT.sub("", text) if "onte" in text else text
 
 
 COMBINING = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
@@ -277,12 +290,12 @@ def is_copied(response: str, instruction: str, least: int = 3, cover: float = 0.
             if folded(re.sub(r"^\s*[-*•]\s*", "", option)) == said:
                 return False
     else:
-        asked = CONTEXT.sub("", instruction)
+        asked = without_context(instruction)
         if asked.lstrip().lower().startswith(("passage:", "text:")):
             asked = asked.strip().rsplit("\n", 1)[-1]
         else:
             asked = asked.strip().split("\n", 1)[0].split(":", 1)[0] + " " + (asked.strip().split("\n", 1)[0] if ":" not in asked else "")
-        if ASKS_FOR_COPY.search(QUOTED.sub(" ", asked)):
+        if ASKS_FOR_COPY.search(unquoted(asked)):
             return False
     if len(said) < 4:
         return True
@@ -295,7 +308,7 @@ def is_copied(response: str, instruction: str, least: int = 3, cover: float = 0.
         if n >= 4 and one[at : at + n].sum() < 0.34 * n:
             return False
         at += n
-    for sentence in [body, *SENTENCE.split(plain(body)), *CONTEXT.sub("", body).split("\x00"), *(x for x in re.split(r"[:\"“”„«»]", body))]:
+    for sentence in [body, *SENTENCE.split(plain(body)), *without_context(body).split("\x00"), *(x for x in re.split(r"[:\"“”„«»]", body))]:
         words = folded(plain(sentence))
         if len(words) >= 4:
             _, two = tiles(said, words, least)
@@ -315,7 +328,7 @@ def is_refusal(response: str) -> bool:
         words = WORD.findall(sentence)
         if not words:
             continue
-        quoted = QUOTED.sub(" ", sentence)
+        quoted = unquoted(sentence)
         if may_decline(quoted) and any(p.search(quoted) for p in REFUSAL):
             declined = True
         elif len(words) > 3:
@@ -355,7 +368,7 @@ def script(text: str) -> str | None:
 
 def is_other_language(response: str, instruction: str) -> bool:
     """Another script than the instruction's, or words of another language, unless the instruction asks for one."""
-    asked = CONTEXT.sub("", QUOTED.sub(" ", OPTIONS.split(instruction)[0]))
+    asked = without_context(unquoted(OPTIONS.split(instruction)[0]))
     own = script(response)
     odd_script = own is not None and own != script(instruction)
     first = asked.split(":", 1)[0] if ":" in asked and len(asked.split(":", 1)[0].split()) >= 3 else asked
@@ -372,12 +385,12 @@ def _odd_words(response: str, first: str, asked: str) -> bool:
     wanted, sure, n = language(first)
     if wanted is None or n < 2 and len(WORD.findall(first)) > 3 and sure < 0.6:
         wanted, sure, n = language(asked)
-    spoken, part, m = language(QUOTED.sub(" ", plain(response)))
+    spoken, part, m = language(unquoted(plain(response)))
     if wanted is None or sure < 0.4:
         return False
     if spoken is not None and spoken != wanted and m >= 3 and part >= 0.55:
         return True
-    words = WORD.findall(QUOTED.sub(" ", plain(response)).lower())
+    words = WORD.findall(unquoted(plain(response)).lower())
     if len(words) < 4 or m > 0.3 * len(words) and spoken == wanted:
         return False
     own = FUNCTION_SETS[wanted]
@@ -406,6 +419,8 @@ def unfinished(text: str) -> list[str]:
 
     Strings in code hide their brackets; closers without an opener (smileys, list markers), half-open intervals and inch
     marks are let pass."""
+    if not OPEN_OR_CLOSED.search(text):
+        return []
     if "," in text and "```" not in text:
         text = INTERVAL.sub(" ", text)
     if '"' in text:
@@ -459,6 +474,9 @@ def unfinished(text: str) -> list[str]:
 
 
 LONGEST_WORD = 64
+DIGIT = re.compile(r"\d")
+END_MARKS = (".", "!", "?", "…", "。", "！", "？")
+OPEN_OR_CLOSED = re.compile("[()\\[\\]{}“”«»„\"`<]")
 ENDED = re.compile(r"(?:[.!?…。！？]|\.\.\.)[\"'”»“’)\]*_`~\s]*(?:\([^()]{1,60}\)\s*)?$|[`\"”»]\s*$|[\U0001F300-\U0001FAFF☀-➿️]\s*$|```\s*$|</[A-Za-z]+>\s*$|[)\]}]\s*$")
 MARKER = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)]|[a-z]\))\s*$")
 ITEMS = re.compile(r"(?m)^\s*(?:[-*•–]|\(?\d{1,3}[.)])\s+\S")
@@ -467,7 +485,8 @@ ASKED_ITEMS = re.compile(r"(?i)\b(?:list|give|name|nenne|liste|cite|enumera|énu
 
 def truncation(response: str, instruction: str) -> tuple[bool, str | None]:
     """Whether the response is cut off; where that hangs on its last words alone, no, and the last two in lower case."""
-    text = INVISIBLE.sub("", html.unescape(response)).rstrip()
+    text = html.unescape(response)
+    text = (text if text.isascii() else INVISIBLE.sub("", text)).rstrip()
     if OPTIONS.search(instruction):
         given = folded(plain(text))
         options = [folded(re.sub(r"^\s*[-*•]\s*", "", x)) for x in OPTIONS.split(instruction)[-1].split("\n")]
@@ -480,18 +499,18 @@ def truncation(response: str, instruction: str) -> tuple[bool, str | None]:
     lines = text.split("\n")
     if len(lines) > 1 and MARKER.match(lines[-1]):
         return True, None
-    if m := ASKED_ITEMS.search(instruction):
+    if DIGIT.search(instruction) and (m := ASKED_ITEMS.search(instruction)):
         n = len(ITEMS.findall(text))
         if 0 < n < int(m[1]) and (n > 1 or len(WORD.findall(text)) < 40):
             return True, None
     if re.search(r"[,;:\-–—/&+=(]$", text) and not text.endswith("--"):
         return True, None
-    if ENDED.search(text):
+    if text[-1:] in END_MARKS or ENDED.search(text):
         return False, None
     words = WORD.findall(plain(text))
     if not words:
         return False, None
-    if SHORT_ANSWER.search(CONTEXT.sub("", instruction).strip()) and len(words) <= (2 if words[-1].lower() in DANGLING else 8):
+    if SHORT_ANSWER.search(without_context(instruction).strip()) and len(words) <= (2 if words[-1].lower() in DANGLING else 8):
         return False, None
     return False, " ".join(words[-2:]).lower()
 
