@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,8 +115,19 @@ def synthetic(spark: SparkSession, rows: int, length: int, vocabulary: int, seed
 
 
 def settings(path: str) -> dict:
-    """A configuration file: JSON, or the plain subset of YAML that configurations use where no YAML library is there."""
-    text = open(path, encoding="utf-8").read()
+    """A configuration file, local or at an http(s) address: JSON, or the plain subset of YAML that configurations use
+    where no YAML library is there. Addresses are tried three times."""
+    from ..plans.config import retried
+
+    def fetched() -> str:
+        with urlopen(path, timeout=30) as answer:
+            return answer.read().decode("utf-8")
+
+    if path.startswith(("https://", "http://")):
+        text = retried(fetched, errors=(OSError,))
+    else:
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
     try:
         return json.loads(text)
     except json.JSONDecodeError:

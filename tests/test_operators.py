@@ -402,3 +402,37 @@ def test_no_wrap_chunks_against_a_fold(spark, length, span, seed):
     got = concat.concat_chunks_no_wrap(df, "t", "k", length, (1,) * (length > 7), (2,) * (length > 7), stream="s", span=span).collect()
     assert {(r["stream"], r["chunk_id"]): r["tokens"] for r in got} == want and len(got) == len(want)
     assert concat.concat_chunks_no_wrap(df.limit(0), "t", "k", length).count() == 0
+
+
+def test_settings_over_http(tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "c.yaml").write_text("model:\n  name: small\n")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert sources.settings(f"http://127.0.0.1:{server.server_port}/c.yaml") == {"model": {"name": "small"}}
+    finally:
+        server.shutdown()
+
+
+def test_loaders_are_checked():
+    with pytest.warns(UserWarning):
+        assert config.checked_loaders("hf_t5", [{"name": "text_denoising", "decoder_only_format": True}])[0]["decoder_only_format"] is False
+    assert config.checked_loaders("hf_prefix_lm", [{"name": "text_denoising", "decoder_only_format": True}, {"name": "finetuning"}])[1] == {"name": "finetuning"}
+    for model, loaders, icl_ in (("hf_t5", [{"name": "text"}], False), ("hf_causal_lm", [{"name": "text_denoising"}], False), ("hf_t5", [{"name": "finetuning"}], True)):
+        with pytest.raises(ValueError):
+            config.checked_loaders(model, loaders, icl_)
+
+
+def test_unknown_attention_is_an_error(spark):
+    flags = [F.lit(False)] * 4
+    with pytest.raises(Exception, match="unknown attention"):
+        spark.range(1).select(masks.bias_shape(F.lit("other"), F.lit(8), F.lit(16), *flags)).collect()
+
+
+def test_vocabulary_must_be_there(spark):
+    with pytest.raises(FileNotFoundError):
+        K.shipped(spark, "/nowhere/vocabulary.json")
