@@ -28,3 +28,10 @@ def shuffled_into(spark: SparkSession, number: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(PARTITIONS, before)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read from fewer files than there are: for operators whose work a byte is worth
+    a shuffle of the input. Tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

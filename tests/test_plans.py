@@ -39,3 +39,11 @@ def test_partitions_follow_the_size(spark, folder):
     with sizing.shuffled_into(spark, 3):
         assert spark.conf.get(sizing.PARTITIONS) == "3"
     assert int(spark.conf.get(sizing.PARTITIONS)) == least
+
+
+def test_few_files_are_spread(spark, folder):
+    df = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id")
+    wide = sizing.spread(df)
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and wide.count() == df.count()
+    rows = spark.range(5)
+    assert sizing.spread(rows) is rows
