@@ -27,10 +27,11 @@ def _uniform(seed: np.ndarray) -> np.ndarray:
     return ((mixed(seed) >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / 9007199254740992.0)
 
 
-def first_points(words: np.ndarray, levels: np.ndarray, components: int) -> np.ndarray:
-    """The time of the first point below ``levels`` of each word's processes: words x components, float32."""
+def first_points(words: np.ndarray, levels: np.ndarray, components: int, first: int = 0) -> np.ndarray:
+    """The time of the first point below ``levels`` of each word's processes: words x components, float32; ``first`` is
+    the number of the first component."""
     n = len(words)
-    seed = mixed(words[:, None] + np.arange(1, components + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+    seed = mixed(words[:, None] + np.arange(first + 1, first + components + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
     at = -np.log(_uniform(seed))  # of the whole axis, rate 1
     if (levels >= 1 << DEPTH).all():
         return at.astype(np.float32)
@@ -56,10 +57,11 @@ def weighted(words: np.ndarray, levels: np.ndarray | int = 1 << DEPTH) -> np.nda
 
 
 class Signer:
-    """Signatures of texts given as weighted words; holds the processes of the words seen last."""
+    """Signatures of texts given as weighted words, ``components`` of them from number ``first`` on; holds the processes
+    of the words seen last."""
 
-    def __init__(self, components: int):
-        self.components = components
+    def __init__(self, components: int, first: int = 0):
+        self.components, self.first = components, first
         self.words = np.zeros(0, np.uint64)
         self.points = np.zeros((0, components), np.float32)
 
@@ -67,11 +69,11 @@ class Signer:
         """``words``: distinct, ascending."""
         new = np.setdiff1d(words, self.words, assume_unique=True)
         if len(new):
-            if len(self.words) + len(new) > CACHE_WORDS and len(self.words):
+            if len(self.words) + len(new) > CACHE_WORDS * 256 // max(256, self.components) and len(self.words):
                 self.words, self.points, new = self.words[:0], self.points[:0], words
             low = np.uint64((1 << (DEPTH + 1)) - 1)
             parts = (new[i : i + 512] for i in range(0, len(new), 512))
-            points = np.concatenate([self.points, *(first_points(x >> np.uint64(DEPTH + 1), (x & low).astype(np.int64), self.components) for x in parts)])
+            points = np.concatenate([self.points, *(first_points(x >> np.uint64(DEPTH + 1), (x & low).astype(np.int64), self.components, self.first) for x in parts)])
             every = np.concatenate([self.words, new])
             order = np.argsort(every)
             self.words, self.points = every[order], points[order]
@@ -115,11 +117,12 @@ class Signer:
         return out
 
 
-def bands(signatures: np.ndarray, rows: int, count: int) -> np.ndarray:
-    """int64 texts x count: a key of ``rows`` components each; keys of different bands differ."""
+def bands(signatures: np.ndarray, rows: int, count: int, first: int = 0) -> np.ndarray:
+    """int64 texts x count: a key of ``rows`` components each; keys of different bands differ. ``first`` is the number of
+    the first band."""
     out = np.empty((len(signatures), count), np.uint64)
     for i in range(count):
-        key = mixed(np.full(len(signatures), i + 1, np.uint64))
+        key = mixed(np.full(len(signatures), first + i + 1, np.uint64))
         for j in range(i * rows, (i + 1) * rows):
             key = mixed(key ^ signatures[:, j])
         out[:, i] = key

@@ -4,9 +4,11 @@
 2. Each class gets a BagMinHash signature (:mod:`.bagminhash`), cut into bands. The weight of a word is the number of
    its occurrences where bags are compared, and the same for all words where sets are, so that the chance to meet depends
    on nothing but the common share of the words, whatever else the table holds.
-3. Classes meet where a band agrees. The self-join is a sort-merge join over one shuffle of 32-byte rows, so a hot band
-   spills and is split by adaptive execution instead of filling a task, and a 128-bit sketch in its condition turns away
-   chance meetings: of shorter texts by an exact bound, of longer ones by a wide margin.
+3. Classes meet where a band agrees. A band is so long that chance meetings stay few as the table grows, and bands are
+   so many that links aren't lost. Bands come in groups that share their first component: a class travels once a group,
+   with the keys of its bands, to the partition of that component's value, packed in one blob a batch and partition.
+   There numpy sorts and pairs the rows, and a 128-bit sketch turns away chance meetings: of shorter texts by an exact
+   bound, of longer ones by a wide margin. Large tables take the groups in rounds, whose shuffles go one after another.
 4. The classes that met are verified exactly on all their words, for which the texts are read again. The ids of these
    classes pick them by a semi-join: Spark broadcasts the ids where they are few (``autoBroadcastJoinThreshold``), else
    the words of all classes are shuffled once, after the shuffle of the bands is gone.
@@ -16,8 +18,9 @@ The number of partitions grows with the input; nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +28,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, drop, release
-from ..plans.sizing import partitions, shuffled_into
+from ..plans.sizing import PARTITIONS, partitions, planned, shuffled_into
 from .bagminhash import DEPTH, Signer, bands, weighted
 from .words import mixed, occurrences, runs, set_ids, word_sets
 
 BITS, LONG = 56, 64
+ROUNDS, SMALL, PAIRS = 3, 2 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
 class Near:
     """``threshold``: common words over words in either, as a fraction of whole numbers (7, 10), reached or exceeded.
-    ``bag``: words count as often as they occur, not once. ``rows`` components a band, ``bands`` bands: texts of
-    similarity ``s`` meet with probability 1 - (1 - s^rows)^bands; in signatures of bags, not in their verification,
+    ``bag``: words count as often as they occur, not once. ``rows`` components a band, the first of them
+    common to the bands of one of ``groups`` groups of ``bands`` / ``groups`` bands each: :meth:`recall` has the
+    probability that texts meet; in signatures of bags, not in their verification,
     2**DEPTH occurrences of a word weigh as much as more. ``apart``: of the sketch's 120 bits those that may differ where
     both texts have ``LONG`` words or more; 120 turns none of those away."""
 
     threshold: tuple[int, int] = (7, 10)
     bag: bool = False
-    rows: int = 4
-    bands: int = 32
+    rows: int = 7
+    bands: int = 144
+    groups: int = 12
     apart: int = 38
 
-    def recall(self, similarity: float) -> float:
+    @property
+    def each(self) -> int:
+        """Bands a group."""
+        return self.bands // self.groups
+
+    @property
+    def width(self) -> int:
+        """Components a group."""
+        return 1 + (self.rows - 1) * self.each
+
+    def recall(self, similarity: float | Column) -> float | Column:
         """The expected share of links of one ``similarity`` whose texts meet in a band."""
-        return 1 - (1 - similarity**self.rows) ** self.bands
+        return 1 - (1 - similarity * (1 - (1 - similarity ** (self.rows - 1)) ** self.each)) ** self.groups
 
 
 def _elements(texts: list[str | None], p: Near, orders: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,11 +158,70 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(held), np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def candidates(texts: DataFrame, p: Near) -> DataFrame:
-    """Distinct (a, b), a < b: classes that agree in a band and whose sketches may be of near-same texts."""
+def _limits(p: Near) -> np.ndarray:
+    """How many bits two sketches may differ in by the two texts' sizes; -1 where the sizes alone are too far apart. The
+    same as :func:`may_be_near`."""
+    a, b = np.arange(256)[:, None], np.arange(256)[None, :]
+    short = (a + b) * (p.threshold[1] - p.threshold[0]) // (p.threshold[1] + p.threshold[0])
+    most = np.where((a < LONG) & (b < LONG), short, np.where((a >= LONG) & (b >= LONG), p.apart, 128))
+    return np.where(np.minimum(a, b) * p.threshold[1] >= np.maximum(a, b) * p.threshold[0], most, -1).astype(np.int16).ravel()
+
+
+def _row(p: Near) -> np.dtype:
+    """A class in one group: its id, its sketch, the keys of the group's bands."""
+    return np.dtype([("cls", "<i8"), ("sketch", "<u8"), ("more", "<u8"), ("keys", "<u4", (p.each,))])
+
+
+def group_keys(signature: np.ndarray, p: Near, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 texts x groups: the value of the component that a group shares; texts x groups x bands a group: the bands'
+    keys. ``signature`` has the components of the groups from ``first`` to below ``last``."""
+    cells, keys = np.empty((len(signature), last - first), np.uint64), np.empty((len(signature), last - first, p.each), np.uint64)
+    for g in range(last - first):
+        own = signature[:, g * p.width : (g + 1) * p.width]
+        cells[:, g] = bands(own[:, :1], 1, 1, first + g)[:, 0].view(np.uint64)
+        keys[:, g] = mixed(bands(own[:, 1:], p.rows - 1, p.each).view(np.uint64) ^ cells[:, g, None])
+    return cells, keys
+
+
+def _pairs(key: np.ndarray, rows: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), a < b, of the classes of rows with one key whose sketches may be of near-same texts, about ``PAIRS``
+    meetings at once however many there are."""
+    if not len(rows):
+        return
+    order = np.sort((key.astype(np.uint64) << np.uint64(32)) | np.arange(len(rows), dtype=np.uint64))
+    key, order = order >> np.uint64(32), (order & np.uint64(0xFFFFFFFF)).view(np.int64)
+    new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    met = ~(new[1:] & new[:-1])  # rows that aren't alone with their key
+    order, new = order[met], new[:-1][met]
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(order)))
+    later = np.repeat(first + many, many) - np.arange(len(order)) - 1  # rows that each row meets behind it
+    met = np.concatenate([[0], np.cumsum(later)])
+    cls, sketch, more = (rows[x][order] for x in ("cls", "sketch", "more"))
+    size = (sketch >> np.uint64(BITS)).astype(np.uint16)
+    i = 0
+    while met[i] < met[-1]:
+        j = max(i + 1, int(np.searchsorted(met, met[i] + PAIRS, "right")) - 1)
+        x = np.repeat(np.arange(i, j), later[i:j])
+        y = x + 1 + np.arange(met[i], met[j]) - met[x]
+        most = limits[(size[x] << np.uint16(8)) | size[y]]
+        near = np.flatnonzero(np.bitwise_count(more[x] ^ more[y]) <= most)
+        x, y, most = x[near], y[near], most[near]
+        differ = np.bitwise_count((sketch[x] ^ sketch[y]) << np.uint64(64 - BITS)) + np.bitwise_count(more[x] ^ more[y])
+        near = (differ <= most) & (cls[x] != cls[y])
+        a, b = cls[x[near]], cls[y[near]]
+        yield np.minimum(a, b), np.maximum(a, b)
+        i = j
+
+
+def candidates(texts: DataFrame, p: Near, first: int, last: int) -> DataFrame:
+    """Distinct (a, b), a < b: classes that agree in a band of the groups from ``first`` to below ``last`` and whose
+    sketches may be of near-same texts."""
+    parts, limits, kind = int(texts.sparkSession.conf.get(PARTITIONS)), _limits(p), _row(p)
+    count = last - first
 
     def sign(batches):
-        signer, seen = Signer(p.rows * p.bands), np.zeros(0, np.int64)
+        signer, seen = Signer(p.width * count, p.width * first), np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -163,13 +238,43 @@ def candidates(texts: DataFrame, p: Near) -> DataFrame:
                 signature = signer.sign(weighted(words[starts], np.minimum(many, 1 << DEPTH)), np.searchsorted(starts, offsets))
             else:
                 signature = signer.sign(weighted(words), offsets)
-            keys, (near, more) = bands(signature, p.rows, p.bands), sketches(elements, offsets, signature)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls[fresh], p.bands)), pa.array(np.repeat(near, p.bands)), pa.array(np.repeat(more, p.bands))], ["band", "cls", "sketch", "more"])
-
-    rows = texts.select("text").mapInArrow(sign, "band long, cls long, sketch long, more long")
-    x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") < F.col("y.cls")) & may_be_near((F.col("x.sketch"), F.col("x.more")), (F.col("y.sketch"), F.col("y.more")), p))
-    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+            cells, keys = group_keys(signature, p, first, last)
+            rows = np.empty(cells.shape, kind)
+            rows["cls"], rows["keys"] = cls[fresh][:, None], keys.astype(np.uint32)
+            for name, own in zip(("sketch", "more"), sketches(elements, offsets, signature)):
+                rows[name] = own.view(np.uint64)[:, None]
+            part = ((cells.ravel() >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            rows, held = rows.ravel()[np.argsort(part, kind="stable")], np.bincount(part, minlength=parts)
+            ends = np.concatenate([[0], np.cumsum(held)]) * kind.itemsize
+            blobs = pa.Array.from_buffers(pa.large_binary(), parts, [None, pa.py_buffer(ends), pa.py_buffer(rows.view(np.uint8))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), blobs.cast(pa.binary())], ["part", "held"]).filter(pa.array(held > 0))
+
+    def meet(batches):
+        held = b"".join(x for batch in batches for x in batch.column("held").to_pylist())
+        rows = np.frombuffer(held, kind)
+        for k in range(p.each):
+            for a, b in _pairs(rows["keys"][:, k], rows, limits):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = texts.select("text").mapInArrow(sign, "part int, held binary")
+    return rows.repartitionById(parts, F.col("part")).select("held").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _met(texts: DataFrame, p: Near) -> DataFrame:
+    """The :func:`candidates` of all groups, as a cut table. The shuffle of a round is gone before the next one begins."""
+    spark = texts.sparkSession
+    rounds = min(ROUNDS, p.groups, max(1, -(-planned(texts) // SMALL)))
+    with shuffled_into(spark, partitions(texts, 24.0 / rounds, 24 << 20)):
+        some = []
+        for i in range(rounds):
+            some.append(cut(candidates(texts, p, p.groups * i // rounds, p.groups * (i + 1) // rounds)))
+            release(spark)
+        if rounds == 1:
+            return some[0]
+        pairs = cut(reduce(DataFrame.unionAll, some).distinct())
+    for x in some:
+        drop(x)
+    return pairs
 
 
 def links(texts: DataFrame, p: Near = Near()) -> DataFrame:
@@ -196,9 +301,8 @@ def links(texts: DataFrame, p: Near = Near()) -> DataFrame:
             near = common * p.threshold[1] >= (sizes - common) * p.threshold[0]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(sizes - common)], ["a", "b", "common", "either"]).filter(pa.array(near))
 
+    pairs = _met(texts, p)
     with shuffled_into(spark, partitions(texts, 4.0)):
-        pairs = cut(candidates(texts, p))
-        release(spark)
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         held = classes(texts, p).join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))
         with_one = pairs.join(held.withColumnRenamed("words", "one"), F.col("a") == F.col("cls")).drop("cls")
@@ -264,4 +368,4 @@ def recall(rows: DataFrame, p: Near = Near(), every: int = 20) -> DataFrame:
     both = true.withColumn("truth", F.lit(1)).join(got, ["a", "b", "common", "either"], "full")
     low = F.expr("10 * common div either") / 10
     per = both.groupBy(low.alias("similarity")).agg(F.count("truth").alias("links"), F.count_if(F.expr("truth is not null and hit is not null")).alias("found"), F.count_if(F.expr("truth is null")).alias("wrong"))
-    return per.select("similarity", "links", "found", "wrong", F.try_divide("found", "links").alias("recall"), (1 - F.pow(1 - F.pow("similarity", p.rows), p.bands)).alias("least_expected"))
+    return per.select("similarity", "links", "found", "wrong", F.try_divide("found", "links").alias("recall"), p.recall(F.col("similarity")).alias("least_expected"))

@@ -201,6 +201,60 @@ def test_expected_recall_at_the_threshold():
     assert met >= 3996 and passed >= 3999
 
 
+def sides(rng, common, own, texts):
+    """Two collections of texts as words and offsets: the n-th texts share ``common`` words and have ``own`` more each."""
+    words = rng.integers(1, 1 << 52, (texts, common + 2 * own)).astype(np.uint64)
+    return [(np.sort(x, axis=1).ravel(), np.arange(texts + 1) * (common + own)) for x in (words[:, : common + own], np.delete(words, np.s_[common : common + own], axis=1))]
+
+
+def keys_of(words, offsets, p):
+    signature = bagminhash.Signer(p.width * p.groups).sign(bagminhash.weighted(words), offsets)
+    return nearsame.group_keys(signature, p, 0, p.groups)
+
+
+def test_grouped_bands_meet_as_often_as_said():
+    """Links at the threshold meet, texts that only share common words hardly ever do."""
+    p, rng = nearsame.Near(), np.random.default_rng(9)
+    assert p.recall(0.7) > 0.9998 and p.bands == p.groups * p.each
+    met = 0
+    for _ in range(10):
+        (a, x), (b, y) = (keys_of(*own, p) for own in sides(rng, 70, 15, 400))
+        met += (x == y).any(axis=(1, 2)).sum()
+    assert met >= 3996
+    (a, x), (b, y) = (keys_of(*own, p) for own in sides(rng, 16, 26, 4000))  # a common share of 0.235
+    assert (x == y).sum() < 0.02 * len(x)  # bands of four components, 32 of them, had 0.098
+    assert ((x == y).any(axis=2) <= (a == b)).all()  # a key is met where its group's component is
+
+
+def test_rows_with_one_key_are_paired(monkeypatch):
+    """Every pair once, in blocks of any size, with the condition that columns have."""
+    monkeypatch.setattr(nearsame, "PAIRS", 7)
+    p, rng = nearsame.Near(), np.random.default_rng(2)
+    rows = np.zeros(300, nearsame._row(p))
+    rows["cls"], key = rng.integers(-50, 50, 300), rng.integers(0, 30, 300).astype(np.uint32)
+    rows["sketch"], rows["more"] = (rng.choice([20, 25, 30, 63, 64, 80, 255], 300).astype(np.uint64) << np.uint64(56)) | rng.integers(0, 1 << 12, 300).astype(np.uint64), rng.integers(0, 1 << 12, 300)
+    limits = nearsame._limits(p)
+
+    def near(x, y):
+        a, b = int(x["sketch"]) >> 56, int(y["sketch"]) >> 56
+        differ = ((int(x["sketch"]) ^ int(y["sketch"])) & ((1 << 56) - 1)).bit_count() + (int(x["more"]) ^ int(y["more"])).bit_count()
+        alike = 17 * differ <= 3 * (a + b) if max(a, b) < 64 else differ <= p.apart if min(a, b) >= 64 else True
+        return 10 * min(a, b) >= 7 * max(a, b) and alike
+
+    truth = Counter(tuple(sorted((int(rows["cls"][i]), int(rows["cls"][j])))) for i, j in itertools.combinations(range(300), 2) if key[i] == key[j] and rows["cls"][i] != rows["cls"][j] and near(rows[i], rows[j]))
+    got = Counter((int(a), int(b)) for x, y in nearsame._pairs(key, rows, limits) for a, b in zip(x, y))
+    assert got == truth and truth
+    assert list(nearsame._pairs(key[:0], rows[:0], limits)) == []
+
+
+def test_rounds_give_the_same_links(spark, skewed, monkeypatch):
+    df, found = spark.createDataFrame([(t,) for t in skewed.values()], "text string").repartition(5), []
+    for rounds in (1, 3, 5):
+        monkeypatch.setattr(nearsame, "ROUNDS", rounds)
+        found.append({tuple(r) for r in nearsame.links(df).collect()})
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_sketches_turn_no_shorter_link_away(spark):
     rng = np.random.default_rng(6)
     pairs, sizes = [], rng.integers(1, 64, 800)
