@@ -7,16 +7,30 @@ vocabulary; ``vocabulary_tokens`` runs a public byte-pair vocabulary in Arrow ba
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from itertools import filterfalse
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
+#: Characters or ids that are in work at once; words whose ids a worker keeps, and characters above which it keeps none.
+SLICE, KEPT, LONG = 1 << 17, 1 << 16, 64
+
+#: Words with the white space before them. No piece of a byte-level vocabulary goes on from a character that isn't white
+#: space to a blank, tab or line end; other white space, on which engines differ, stays inside a word.
+_PARTS = re.compile(r"\s*+\S++(?:[^\S \t\n\r]\s*+\S*+)*+|\s++")
+_BREAK = re.compile(r"\S(?=[ \t\n\r])")
+
 
 @dataclass(frozen=True)
 class Tokenizer:
@@ -91,20 +105,105 @@ def shipped(spark, path: str) -> str:
     return name
 
 
-def vocabulary_tokens(path: str):
-    """A column function ``text -> array<long>`` of a ``tokenizers`` vocabulary file (for instance byte_bpe_50k.json).
+class _Vocabulary:
+    """A ``tokenizers`` vocabulary in a worker, on the task's own core.
 
-    ``path``: where executors have the file, or its name from :func:`shipped`. It is read once a worker; texts pass in
-    Arrow batches."""
+    Where parts of a text are independent, the ids of parts met are kept for the next texts."""
 
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer as Vocabulary
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        v = self.vocabulary = Vocabulary.from_file(path)
+        v.encode_special_tokens = True
+        cut = v.pre_tokenizer
+        plain = v.normalizer is None and v.truncation is None and v.padding is None and getattr(v.model, "dropout", None) is None
+        self.by_parts = plain and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space and all(t.special for t in v.get_added_tokens_decoder().values())
+        self.kept: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("q", e.ids).tobytes() for e in self.vocabulary.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_parts(self, parts: list[str]) -> bytes:
+        new = set(filterfalse(self.kept.__contains__, parts))
+        if len(self.kept) + len(new) > KEPT:
+            self.kept.clear()
+            new = set(parts)
+        self.kept.update(zip(new, self.encoded(list(new)), strict=True))
+        found = b"".join(map(self.kept.__getitem__, parts))
+        for part in new:
+            if len(part) > LONG:
+                del self.kept[part]
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text, its ids in eight bytes each."""
+        return [self.of_long(text) for text in texts] if self.by_parts else self.encoded(texts)
+
+    def of_long(self, text: str) -> bytes:
+        found, start = [], 0
+        while start < len(text):
+            cut = _BREAK.search(text, start + SLICE)
+            stop = cut.end() if cut else len(text)
+            found.append(self.of_parts(_PARTS.findall(text, start, stop)))
+            start = stop
+        return b"".join(found)
+
+    @cached_property
+    def bytes_of(self) -> dict[int, bytes] | None:
+        """The bytes of each id, if the vocabulary only joins these."""
+        from tokenizers.decoders import ByteLevel
+
+        if not isinstance(self.vocabulary.decoder, ByteLevel):
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in set(shown)]
+        byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(hidden)}
+        return {i: bytes(map(byte.__getitem__, t)) if byte.keys() >= set(t) else t.encode() for t, i in self.vocabulary.get_vocab(with_added_tokens=True).items()}
+
+    def texts(self, ids: list[list[int]]) -> list[str]:
+        if self.bytes_of:
+            try:
+                return [b"".join(map(self.bytes_of.__getitem__, x)).decode("utf-8", "replace") for x in ids]
+            except KeyError:  # an id that the vocabulary doesn't have
+                pass
+        return self.vocabulary.decode_batch(ids, skip_special_tokens=False)
+
+
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> _Vocabulary:
+    return _Vocabulary(path)
+
+
+def _vocabulary(path: str) -> _Vocabulary:
+    return _loaded(path if os.path.dirname(path) else SparkFiles.get(path))
+
+
+def _slices(rows: pa.Array, sizes: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive rows of ``SLICE`` characters or ids together, or a single row that has more."""
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(rows):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
+        yield rows[start:stop]
+        start = stop
+
 
-        vocabulary = Vocabulary.from_file(path if os.path.dirname(path) else SparkFiles.get(path))
-        vocabulary.encode_special_tokens = True
+def vocabulary_tokens(path: str):
+    """A column function ``text -> array<long>`` of a ``tokenizers`` vocabulary file (for instance byte_bpe_50k.json).
+
+    ``path``: where executors have the file, or its name from :func:`shipped`. It is read once a worker; texts come in
+    Arrow batches and leave in slices of these, so a worker holds the ids of one slice."""
+
+    @F.arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = _vocabulary(path)
         for texts in batches:
-            yield pd.Series([e.ids for e in vocabulary.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], index=texts.index)
+            for some in _slices(texts, pc.utf8_length(texts)):
+                ids = vocabulary.ids(some.fill_null("").to_pylist())
+                ends = np.cumsum([0, *(len(x) // 8 for x in ids)], dtype=np.int32)
+                yield pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), dtype=np.int64))
 
     return run
 
@@ -112,13 +211,12 @@ def vocabulary_tokens(path: str):
 def vocabulary_text(path: str):
     """The texts that :func:`vocabulary_tokens` made ids of, exactly."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer as Vocabulary
-
-        vocabulary = Vocabulary.from_file(path if os.path.dirname(path) else SparkFiles.get(path))
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = _vocabulary(path)
         for ids in batches:
-            yield pd.Series(vocabulary.decode_batch([list(x) for x in ids], skip_special_tokens=False), index=ids.index)
+            for some in _slices(ids, pc.list_value_length(ids)):
+                yield pa.array(vocabulary.texts([x.values.to_numpy(zero_copy_only=False).tolist() for x in some]), pa.string())
 
     return run
 

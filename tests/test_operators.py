@@ -1,6 +1,8 @@
 """Literal results, properties and small folds of the operators."""
 
+import os
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -436,3 +438,70 @@ def test_unknown_attention_is_an_error(spark):
 def test_vocabulary_must_be_there(spark):
     with pytest.raises(FileNotFoundError):
         K.shipped(spark, "/nowhere/vocabulary.json")
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@pytest.fixture
+def vocabulary():
+    pytest.importorskip("tokenizers")
+    if not os.path.isfile(VOCABULARY):
+        pytest.skip("no vocabulary file here")
+    return VOCABULARY
+
+
+def test_vocabulary_memory_of_a_large_batch(spark, vocabulary):
+    """One batch of 10,000 texts, 24 MB: a worker holds the ids of a slice, not of the batch."""
+    psutil = pytest.importorskip("psutil")
+    most, over = 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not over.wait(0.05):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark.daemon" in " ".join(p.cmdline()):
+                        most = max(most, p.memory_info().rss)
+                except psutil.Error:
+                    pass
+
+    text = F.expr("array_join(transform(sequence(1, 400), i -> concat('word', pmod(hash(id, i), 5000))), ' ')")
+    watching = threading.Thread(target=watch)
+    watching.start()
+    try:
+        row = spark.range(0, 10_000, numPartitions=1).select(F.size(K.vocabulary_tokens(vocabulary)(text)).alias("n")).agg(F.sum("n"), F.count("n")).first()
+    finally:
+        over.set()
+        watching.join()
+    assert row[0] > 4_000_000 and row[1] == 10_000
+    assert 0 < most < 500e6
+
+
+def test_vocabulary_ids_of_odd_texts(vocabulary, monkeypatch):
+    """Parts, kept or not, pieces of long texts and texts back, against the vocabulary on whole texts."""
+    rng = random.Random(5)
+    pool = [*" " * 8, *"\n\t\r\x0b\x1c\x85\xa0\u2003\u200b\u3000\ufeff\u0301'sab12!\x00é中٣²🙂Ġ", "'s", "'ll", "<|endoftext|>", "x" * 70]
+    texts = ["", " ", "a" * 500, *("".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(3000))]
+    for slice_, kept in ((1 << 17, 1 << 16), (7, 50)):
+        monkeypatch.setattr(K, "SLICE", slice_)
+        monkeypatch.setattr(K, "KEPT", kept)
+        v = K._Vocabulary(vocabulary)
+        assert v.by_parts
+        ids = [np.frombuffer(x, np.int64).tolist() for x in v.ids(texts)]
+        assert ids == [e.ids for e in v.vocabulary.encode_batch(texts, add_special_tokens=False)]
+        assert v.texts(ids) == texts
+        some = [[rng.randrange(50_257) for _ in range(rng.randrange(6))] for _ in range(500)]
+        assert v.texts(some) == v.vocabulary.decode_batch(some, skip_special_tokens=False)
+        assert v.texts([[1, 60_000, 2]]) == v.vocabulary.decode_batch([[1, 60_000, 2]], skip_special_tokens=False)
+
+
+def test_vocabulary_of_whole_texts(spark, tmp_path):
+    """A vocabulary whose texts don't fall into independent parts; null, empty and long texts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    v = tokenizers.Tokenizer(tokenizers.models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    v.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    v.save(path := str(tmp_path / "words.json"))
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "a b"), (3, "b " * 200_000), (4, "c a")], "id long, text string").coalesce(1)
+    rows = df.select("id", K.vocabulary_tokens(path)("text").alias("ids")).select("id", F.size("ids"), F.slice("ids", 1, 3), F.substring(K.vocabulary_text(path)("ids"), 1, 5)).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(0, 0, [], ""), (1, 0, [], ""), (2, 2, [0, 1], "a b"), (3, 200_000, [1, 1, 1], "b b b"), (4, 2, [2, 0], "? a")]
