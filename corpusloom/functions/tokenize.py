@@ -12,7 +12,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
-#: Characters or ids that are in work at once; words whose ids a worker keeps, and characters above which it keeps none.
+#: Characters or ids that are in work at once; words, and parts of words, whose ids a worker keeps; characters above which
+#: it keeps none.
 SLICE, KEPT, LONG = 1 << 17, 1 << 16, 64
 
-#: Words with the white space before them. No piece of a byte-level vocabulary goes on from a character that isn't white
-#: space to a blank, tab or line end; other white space, on which engines differ, stays inside a word.
-_PARTS = re.compile(r"\s*+\S++(?:[^\S \t\n\r]\s*+\S*+)*+|\s++")
+#: Parts of a text, with the white space before them, that no piece of a byte-level vocabulary goes beyond: such a piece
+#: goes on neither from one kind of letter, digit and sign to another, save from an apostrophe, nor to a blank, tab or line
+#: end from anything but white space. Where engines differ on a character, it stays inside a part.
+_PARTS = re.compile(r"\s*+(?:(?:[A-Za-z]++|[0-9]++)(?![^\x00-\x7f])|[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9 \t\n\r]|\Z)|\S++(?:[^\S \t\n\r]\s*+\S*+)*+)|\s++")
 _BREAK = re.compile(r"\S(?=[ \t\n\r])")
 
 
@@ -105,6 +107,31 @@ def shipped(spark, path: str) -> str:
     return name
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of little more than ``SLICE`` characters, if it has breaks there."""
+    start = 0
+    while start < len(text):
+        cut = _BREAK.search(text, start + SLICE)
+        stop = cut.end() if cut else len(text)
+        yield text[start:stop]
+        start = stop
+
+
+def _unknown(kept: dict[str, bytes], words: list[str]) -> set[str]:
+    """Those that aren't kept; all, if with them there would be too many."""
+    new = set(filterfalse(kept.__contains__, words))
+    if len(kept) + len(new) <= KEPT:
+        return new
+    kept.clear()
+    return set(words)
+
+
+def _forget(kept: dict[str, bytes], new: set[str]) -> None:
+    for word in new:
+        if len(word) > LONG:
+            del kept[word]
+
+
 class _Vocabulary:
     """A ``tokenizers`` vocabulary in a worker, on the task's own core.
 
@@ -120,35 +147,35 @@ class _Vocabulary:
         cut = v.pre_tokenizer
         plain = v.normalizer is None and v.truncation is None and v.padding is None and getattr(v.model, "dropout", None) is None
         self.by_parts = plain and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space and all(t.special for t in v.get_added_tokens_decoder().values())
-        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [array("q", e.ids).tobytes() for e in self.vocabulary.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of_parts(self, parts: list[str]) -> bytes:
-        new = set(filterfalse(self.kept.__contains__, parts))
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = set(parts)
-        self.kept.update(zip(new, self.encoded(list(new)), strict=True))
-        found = b"".join(map(self.kept.__getitem__, parts))
-        for part in new:
-            if len(part) > LONG:
-                del self.kept[part]
-        return found
-
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids in eight bytes each."""
-        return [self.of_long(text) for text in texts] if self.by_parts else self.encoded(texts)
-
-    def of_long(self, text: str) -> bytes:
-        found, start = [], 0
-        while start < len(text):
-            cut = _BREAK.search(text, start + SLICE)
-            stop = cut.end() if cut else len(text)
-            found.append(self.of_parts(_PARTS.findall(text, start, stop)))
-            start = stop
-        return b"".join(found)
+        return [b"".join(map(self.of_words, _pieces(text))) for text in texts] if self.by_parts else self.encoded(texts)
+
+    def of_words(self, text: str) -> bytes:
+        """By blanks, which is quick, where each stands alone."""
+        first, *words = text.split(" ")
+        new = _unknown(self.words, words)
+        if "" in new or (first or "a")[-1].isspace() or any(w[-1].isspace() for w in new):
+            return self.of_parts([text])[0]
+        own, *ids = self.of_parts([first, *(f" {w}" for w in new)])
+        self.words.update(zip(new, ids, strict=True))
+        found = own + b"".join(map(self.words.__getitem__, words))
+        _forget(self.words, new)
+        return found
+
+    def of_parts(self, texts: list[str]) -> list[bytes]:
+        parts = [_PARTS.findall(t) for t in texts]
+        new = _unknown(self.parts, list(chain.from_iterable(parts)))
+        self.parts.update(zip(new, self.encoded(list(new)), strict=True))
+        found = [b"".join(map(self.parts.__getitem__, own)) for own in parts]
+        _forget(self.parts, new)
+        return found
 
     @cached_property
     def bytes_of(self) -> dict[int, bytes] | None:

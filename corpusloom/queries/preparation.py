@@ -286,7 +286,8 @@ def TOK1_byte_pair_vocabulary(t):
     import os
 
     path = K.shipped(t.spark, os.environ.get("CORPUSLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json"))
-    ids = t.documents.select("doc_id", K.vocabulary_tokens(path)("text").alias("ids"))
+    tokens = K.vocabulary_tokens(path).asNondeterministic()  # else each use of the ids makes them again
+    ids = t.documents.select("doc_id", tokens("text").alias("ids"))
     return ids.select("doc_id", F.md5(K.vocabulary_text(path)("ids")).alias("digest"), (F.size("ids") > 0).alias("has_tokens"))
 
 

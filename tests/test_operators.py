@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom import sinks, sources
+from corpusloom import queries, sinks, sources
 from corpusloom.functions import arrays as A
 from corpusloom.functions import scalars
 from corpusloom.functions import tokenize as K
@@ -505,3 +505,9 @@ def test_vocabulary_of_whole_texts(spark, tmp_path):
     df = spark.createDataFrame([(0, None), (1, ""), (2, "a b"), (3, "b " * 200_000), (4, "c a")], "id long, text string").coalesce(1)
     rows = df.select("id", K.vocabulary_tokens(path)("text").alias("ids")).select("id", F.size("ids"), F.slice("ids", 1, 3), F.substring(K.vocabulary_text(path)("ids"), 1, 5)).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(0, 0, [], ""), (1, 0, [], ""), (2, 2, [0, 1], "a b"), (3, 200_000, [1, 1, 1], "b b b"), (4, 2, [2, 0], "? a")]
+
+
+def test_vocabulary_ids_are_made_once(spark, folder, vocabulary, monkeypatch):
+    monkeypatch.setenv("CORPUSLOOM_VOCABULARY", vocabulary)
+    plan = queries.queries()["TOK1_byte_pair_vocabulary"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(text") == 1 and plan.count("run(") == 2, plan
