@@ -235,15 +235,34 @@ def vocabulary_tokens(path: str):
     return run
 
 
+def _told(path: str, batches: Iterator[pa.Array]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Slices of ids, with their texts."""
+    vocabulary = _vocabulary(path)
+    for ids in batches:
+        for some in _slices(ids, pc.list_value_length(ids)):
+            yield some, pa.array(vocabulary.texts([x.values.to_numpy(zero_copy_only=False).tolist() for x in some]), pa.string())
+
+
 def vocabulary_text(path: str):
     """The texts that :func:`vocabulary_tokens` made ids of, exactly."""
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(path)
-        for ids in batches:
-            for some in _slices(ids, pc.list_value_length(ids)):
-                yield pa.array(vocabulary.texts([x.values.to_numpy(zero_copy_only=False).tolist() for x in some]), pa.string())
+        for _, texts in _told(path, batches):
+            yield texts
+
+    return run
+
+
+def vocabulary_sizes(path: str):
+    """The numbers of ids that :func:`vocabulary_tokens` made, as ``n``, and their ``text`` again.
+
+    In one column: ids with one use go from function to function inside a worker, with two Spark makes them twice."""
+
+    @F.arrow_udf("struct<n: bigint, text: string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids, texts in _told(path, batches):
+            yield pa.StructArray.from_arrays([pc.list_value_length(ids).cast(pa.int64()), texts], ["n", "text"])
 
     return run
 

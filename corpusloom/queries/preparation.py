@@ -286,9 +286,8 @@ def TOK1_byte_pair_vocabulary(t):
     import os
 
     path = K.shipped(t.spark, os.environ.get("CORPUSLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json"))
-    tokens = K.vocabulary_tokens(path).asNondeterministic()  # else each use of the ids makes them again
-    ids = t.documents.select("doc_id", tokens("text").alias("ids"))
-    return ids.select("doc_id", F.md5(K.vocabulary_text(path)("ids")).alias("digest"), (F.size("ids") > 0).alias("has_tokens"))
+    told = K.vocabulary_sizes(path)(K.vocabulary_tokens(path)("text"))
+    return t.documents.select("doc_id", told.alias("told")).select("doc_id", F.md5("told.text").alias("digest"), (F.col("told.n") > 0).alias("has_tokens"))
 
 
 @query(f"SELECT pair_id, array_to_string(list_resize(list_slice(ids, 1, 32), 32, 0), ',') AS ids FROM (SELECT pair_id, {WORDS.format('prompt')} AS ids FROM tasks)")
